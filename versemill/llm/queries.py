@@ -13,6 +13,18 @@ def op1_fingerprint(spark, sf_dir):
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark, sf_dir):
+    from versemill.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op4_decontaminate(spark, sf_dir):
+    from versemill.llm.decontaminate import find_leaks, leak_digest
+
+    return leak_digest(find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_histogram_shards(spark, sf_dir):
     from versemill.llm.sharding import histogram_shards
 
@@ -22,8 +34,26 @@ def op8_histogram_shards(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op8_histogram_shards)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op4_decontaminate, op8_histogram_shards)}
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": r"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM documents),
+b AS (SELECT item_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS p
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
+    FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
+hits AS (SELECT doc_id, dw.n, i, item_id FROM dw JOIN bw ON dw.p = bw.p AND dw.n = bw.n),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
 
 
 def queries() -> dict:
