@@ -25,6 +25,12 @@ def op4_decontaminate(spark, sf_dir):
     return leak_digest(find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_pack(spark, sf_dir):
+    from versemill.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), length=2048)
+
+
 def op8_histogram_shards(spark, sf_dir):
     from versemill.llm.sharding import histogram_shards
 
@@ -34,7 +40,13 @@ def op8_histogram_shards(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op4_decontaminate, op8_histogram_shards)}
+def op9_token_counts(spark, sf_dir):
+    from versemill.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op4_decontaminate, op7_pack, op8_histogram_shards, op9_token_counts)}
 ORACLES: dict[str, str] = {
     "op4_decontaminate": r"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
