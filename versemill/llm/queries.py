@@ -25,6 +25,12 @@ def op4_decontaminate(spark, sf_dir):
     return leak_digest(find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_quality(spark, sf_dir):
+    from versemill.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pack(spark, sf_dir):
     from versemill.llm.packing import pack
 
@@ -46,7 +52,13 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op4_decontaminate, op7_pack, op8_histogram_shards, op9_token_counts)}
+def op10_toxicity(spark, sf_dir):
+    from versemill.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op4_decontaminate, op5_quality, op7_pack, op8_histogram_shards, op9_token_counts, op10_toxicity)}
 ORACLES: dict[str, str] = {
     "op4_decontaminate": r"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
