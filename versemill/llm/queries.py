@@ -31,6 +31,13 @@ def op5_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_simhash(spark, sf_dir):
+    from versemill.llm.simhash import near_groups
+
+    out = near_groups(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_pack(spark, sf_dir):
     from versemill.llm.packing import pack
 
@@ -58,7 +65,7 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op4_decontaminate, op5_quality, op7_pack, op8_histogram_shards, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op4_decontaminate, op5_quality, op6_simhash, op7_pack, op8_histogram_shards, op9_token_counts, op10_toxicity)}
 ORACLES: dict[str, str] = {
     "op4_decontaminate": r"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
