@@ -19,6 +19,12 @@ def op2_license_scan(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_language_model(spark, sf_dir):
+    from versemill.llm.langmodel import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark, sf_dir):
     from versemill.llm.decontaminate import find_leaks, leak_digest
 
@@ -65,7 +71,7 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op4_decontaminate, op5_quality, op6_simhash, op7_pack, op8_histogram_shards, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op3_language_model, op4_decontaminate, op5_quality, op6_simhash, op7_pack, op8_histogram_shards, op9_token_counts, op10_toxicity)}
 ORACLES: dict[str, str] = {
     "op4_decontaminate": r"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
