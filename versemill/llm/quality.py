@@ -200,16 +200,28 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; learns from labelled rows outside fold 0."""
+def fold_of(doc_id: str, folds: int):
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def train(stats: DataFrame, labels: DataFrame, label_col: str, folds: int) -> Model:
+    """Model from (doc_id, stats) and the labels of training folds."""
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("y")).filter(F.col("y").isin(0, 1))
+    y = y.withColumn("fold", fold_of("doc_id", folds)).filter(F.col("fold") != 0)
+    return fit(materialize(stats.join(y, "doc_id").select("stats", "y", "fold"), "quality-train"))
+
+
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """(doc_id, stats) of every document."""
     ship(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stats = materialize(src.mapInArrow(_stat_batches, "doc_id long, stats array<float>"), "quality-stats")
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
-    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("y")).filter(F.col("y").isin(0, 1))
-    train = y.withColumn("fold", fold).filter(F.col("fold") != 0)
-    labelled = materialize(stats.join(train, "doc_id").select("stats", "y", "fold"), "quality-train")
-    model = fit(labelled)
+    return materialize(src.mapInArrow(_stat_batches, "doc_id long, stats array<float>"), "quality-stats")
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document; learns from labelled rows outside fold 0."""
+    stats = document_statistics(docs)
+    model = train(stats, labels, label_col, folds)
 
     def run(batches):
         for b in batches:
@@ -217,4 +229,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     scored = stats.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    held = (fold_of("doc_id", folds) == 0).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def filter_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS) -> DataFrame:
+    """The documents that the model accepts, with all their columns: each row is judged where it is, so nothing is shuffled."""
+    model = train(document_statistics(docs), labels, label_col, folds)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            x = np.array([statistics(t) for t in raw_texts(b.column(at))], dtype=np.float32).reshape(-1, N_STATS)
+            yield b.filter(pa.array(model.score(x.astype(np.float64)) >= THRESHOLD, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

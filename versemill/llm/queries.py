@@ -71,7 +71,13 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op3_language_model, op4_decontaminate, op5_quality, op6_simhash, op7_pack, op8_histogram_shards, op9_token_counts, op10_toxicity)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_license_scan, op3_language_model, op4_decontaminate, op5_quality, op6_simhash, op7_pack, op8_histogram_shards, op9_token_counts, op10_toxicity, pipeline)}
 ORACLES: dict[str, str] = {
     "op4_decontaminate": r"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
