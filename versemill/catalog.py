@@ -1,4 +1,4 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registry of queries and their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -16,17 +16,3 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return wrap
-
-
-@query(
-    "search_all_tokens",
-    """SELECT doc_id, lang, text FROM documents
-    WHERE contains(lower(text), 'the') AND contains(lower(text), 'ing')
-    ORDER BY doc_id LIMIT 24""",
-)
-def search_all_tokens(spark, sf_dir):
-    from versemill.operators.search import search
-    from versemill.session import table
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return search(docs, "the ing", "text", ["doc_id"], 24)
