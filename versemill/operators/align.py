@@ -128,7 +128,8 @@ def realign(left: DataFrame, right: DataFrame, chapter: list[str]) -> DataFrame:
     names = [f.split()[0] for f in REALIGNED.split(", ")]
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        sides = [[(int(v), t) for v, t in x.sort_values("v")[["v", "text"]].itertuples(index=False)] if len(x) else [] for x in (a, b)]
+        # an empty side comes without columns
+        sides = [[(int(v), t) for v, t in x.sort_values("v")[["v", "text"]].itertuples(index=False)] if "v" in x else [] for x in (a, b)]
         rows = _realign(*sides)
         out = pd.DataFrame(rows, columns=names).astype({"left_v": "Int32", "right_v": "Int32"})
         for i, (c, k) in enumerate(zip(chapter, key)):
