@@ -1,6 +1,7 @@
 """Quality verification: check families, findings, verdicts (C-19, J-02..J-04, J-08, J-09, J-11, W-04, W-05, A-05..A-12, P-04).
 
-Every check maps tables with an `edition` column to rows of FINDINGS, so one plan verifies any number of editions. Tables are
+Every check maps tables with an `edition` column to hits, so one plan verifies any number of editions; hits become findings
+(edition, check, severity, title, count, refs). Tables are
 those of FIXTURES.md; `pos` is the order of a verse in its file.
 """
 
@@ -16,8 +17,8 @@ from versemill.functions import fixed
 from versemill.functions import text as T
 from versemill.functions import unicode as U
 from versemill.operators import align
+from versemill.session import materialize
 
-FINDINGS = "edition string, check string, severity string, title string, count bigint, refs array<string>"
 RANK = {"info": 0, "warn": 1, "fail": 2}
 TOP = 200
 
@@ -26,17 +27,38 @@ def ref(usfm: Column | str = "usfm", chapter: Column | str = "chapter", v: Colum
     return F.concat(F.col(usfm), F.lit(" "), F.col(chapter).cast("string"), F.lit(":"), F.col(v).cast("string"))
 
 
-def finding(hits: DataFrame, check: str, severity: Column | str, title: str, at: Column | None = None) -> DataFrame:
-    """One finding for each edition (and severity) that has hits, with its first references in order.
+HIT = ["edition", "check", "severity", "title", "place"]
 
-    References are kept by a bounded top: each task passes on at most TOP of them.
-    """
+
+def tagged(rows: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Hits of all rules (check, severity, title, condition, place) in one pass over the rows: a row can break several."""
+    col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    hit = lambda c, s, t, at: F.struct(F.lit(c).alias("check"), col(s).alias("severity"), F.lit(t).alias("title"), at.alias("place"))
+    found = F.array_compact(F.array(*[F.when(when, hit(c, s, t, at)) for c, s, t, when, at in rules]))
+    return rows.select("edition", F.explode(found).alias("h")).select("edition", "h.*")
+
+
+def hits_of(rows: DataFrame, check: str, severity: Column | str, title: str, at: Column | None = None) -> DataFrame:
+    """Every row as a hit."""
     sev = F.lit(severity) if isinstance(severity, str) else severity
-    rows = hits.select("edition", sev.alias("severity"), (at if at is not None else ref()).alias("_at"))
-    w = Window.partitionBy("edition", "severity").orderBy("_at")
-    counts = rows.groupBy("edition", "severity").agg(F.count("*").alias("count"))
-    first = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= TOP).groupBy("edition", "severity").agg(F.array_sort(F.collect_list("_at")).alias("refs"))
-    return counts.join(first, ["edition", "severity"]).select("edition", F.lit(check).alias("check"), "severity", F.lit(title).alias("title"), "count", "refs")
+    return rows.select("edition", F.lit(check).alias("check"), sev.alias("severity"), F.lit(title).alias("title"), (at if at is not None else ref()).alias("place"))
+
+
+def findings_of(hits: DataFrame) -> DataFrame:
+    """One finding for each edition, check, severity and title that has hits, with its first places in order.
+
+    Counts combine before the exchange; of places each task passes on at most TOP for a finding.
+    """
+    key = ["edition", "check", "severity", "title"]
+    counts = hits.groupBy(*key).agg(F.count("*").alias("count"))
+    w = Window.partitionBy(*key).orderBy("place")
+    first = hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= TOP).groupBy(*key).agg(F.array_sort(F.collect_list("place")).alias("refs"))
+    return counts.join(first, key).select(*key, "count", "refs")
+
+
+def finding(rows: DataFrame, check: str, severity: Column | str, title: str, at: Column | None = None) -> DataFrame:
+    """Findings of one rule."""
+    return findings_of(hits_of(rows, check, severity, title, at))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -82,11 +104,11 @@ def doubled_per_book(hits: DataFrame) -> DataFrame:
     return hits.groupBy("edition", "usfm", "kind").agg(F.count("*").alias("count"))
 
 
-def check_doubled(verses: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def hits_doubled(verses: DataFrame, source: DataFrame | None = None) -> DataFrame:
     hits = doubled(verses, source)
-    worst = Window.partitionBy("edition")
-    bad = F.max((F.coalesce("origin", F.lit("edition_repeat")) != "edition_repeat").cast("int")).over(worst)
-    return finding(hits.withColumn("_s", F.when(bad == 1, "fail").otherwise("warn")), "doubled_text", F.col("_s"), "verses that repeat themselves")
+    odd = F.max((F.coalesce("origin", F.lit("edition_repeat")) != "edition_repeat").cast("int")).alias("_odd")
+    judged = hits.join(hits.groupBy("edition").agg(odd), "edition")
+    return hits_of(judged, "doubled_text", F.when(F.col("_odd") == 1, "fail").otherwise("warn"), "verses that repeat themselves")
 
 
 # --- round trip ------------------------------------------------------------------------------------------------------
@@ -104,15 +126,12 @@ ROUNDTRIP = {
 }
 
 
-def check_roundtrip(verses: DataFrame, source: DataFrame | None) -> DataFrame:
+def hits_roundtrip(verses: DataFrame, source: DataFrame | None) -> DataFrame:
     if source is None:
-        return verses.select("edition").distinct().select(
-            "edition", F.lit("roundtrip").alias("check"), F.lit("fail").alias("severity"), F.lit("no source to compare with").alias("title"),
-            F.lit(0).cast("long").alias("count"), F.array().cast("array<string>").alias("refs"),
-        )
+        none = verses.select("edition").distinct()
+        return hits_of(none, "roundtrip", "fail", "no source to compare with", F.lit("source"))
     classes = align.roundtrip(verses, source, ["edition"])
-    per = [finding(classes.filter(F.col("class") == c), name, sev, title) for c, (name, sev, title) in ROUNDTRIP.items()]
-    return union(per)
+    return tagged(classes, [(name, sev, title, F.col("class") == c, ref()) for c, (name, sev, title) in ROUNDTRIP.items()])
 
 
 def absent_per_book(classes: DataFrame) -> DataFrame:
@@ -123,15 +142,29 @@ def absent_per_book(classes: DataFrame) -> DataFrame:
 # --- forbidden letters and markup ------------------------------------------------------------------------------------
 
 
-def check_forbidden(verses: DataFrame) -> DataFrame:
-    text = F.col("text")
-    return union(
-        [
-            finding(verses.filter(T.forbidden(text)), "forbidden_tokens", "fail", "verses with a delimiter or control letter"),
-            finding(verses.filter(T.has(text, T.ANY_ENTITY)), "markup_residue", "fail", "verses with an entity", F.concat(ref(), F.lit(" "), F.regexp_extract("text", T.ANY_ENTITY, 0))),
-            finding(verses.filter(T.has(text, T.ANY_TAG)), "markup_residue", "fail", "verses with a tag", F.concat(ref(), F.lit(" "), F.substring(F.regexp_extract("text", T.ANY_TAG, 0), 1, 40))),
-        ]
-    )
+def text_rules() -> list[tuple]:
+    """Rules that one verse alone can break: forbidden letters, markup, encoding."""
+    text, entity, tag = F.col("text"), T.ANY_ENTITY, T.ANY_TAG
+    runs = T.has(text, r"([\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uAC00-\uD7A3])\1{2,}")
+    return [
+        ("forbidden_tokens", "fail", "verses with a delimiter or control letter", T.forbidden(text), ref()),
+        ("markup_residue", "fail", "verses with an entity", T.has(text, entity), F.concat(ref(), F.lit(" "), F.regexp_extract("text", entity, 0))),
+        ("markup_residue", "fail", "verses with a tag", T.has(text, tag), F.concat(ref(), F.lit(" "), F.substring(F.regexp_extract("text", tag, 0), 1, 40))),
+        ("encoding", "fail", "verses with C1 letters", T.has(text, r"[\u0080-\u009F]"), ref()),
+        ("encoding", "fail", "verses that lost letters", F.contains(text, F.lit("\ufffd")), ref()),
+        ("encoding", "warn", "verses with a run of one CJK letter", runs, ref()),
+    ]
+
+
+def hits_decomposed(verses: DataFrame, lang: Column | None = None) -> DataFrame:
+    """C-21: texts in decomposed form; only those with marks reach Python."""
+    suspects = verses.filter(T.has(F.col("text"), r"\p{M}")).withColumn("_d", U.decomposed("text")).filter("_d")
+    severity = F.when((F.lit("") if lang is None else lang).isin(*sorted(fixed.PRECOMPOSED)), "fail").otherwise("warn")
+    return hits_of(suspects, "encoding", severity, "verses in decomposed form")
+
+
+def hits_text(verses: DataFrame, lang: Column | None = None) -> DataFrame:
+    return tagged(verses, text_rules()).unionByName(hits_decomposed(verses, lang))
 
 
 # --- structure -------------------------------------------------------------------------------------------------------
@@ -164,7 +197,7 @@ def catalogue_deltas(found: DataFrame, declared: DataFrame, key: list[str]) -> D
     return both.filter(~same)
 
 
-def check_structure(verses: DataFrame, books: DataFrame, source: DataFrame | None = None, total: int = 66) -> DataFrame:
+def hits_structure(verses: DataFrame, books: DataFrame, source: DataFrame | None = None, total: int = 66) -> DataFrame:
     per_book = totals(verses, ["edition", "n"])
     src_n = None if source is None else source
     chapter_rows = verses.select("edition", "usfm", "chapter").distinct()
@@ -192,17 +225,17 @@ def check_structure(verses: DataFrame, books: DataFrame, source: DataFrame | Non
     )
     return union(
         [
-            finding(union(problems), "structure", "fail", "structural problems", F.col("at")),
-            finding(gaps, "edition_versification", "warn", "numbers that the edition itself lacks", F.col("at")),
+            hits_of(union(problems), "structure", "fail", "structural problems", F.col("at")),
+            hits_of(gaps, "edition_versification", "warn", "numbers that the edition itself lacks", F.col("at")),
         ]
     )
 
 
-def check_versification(verses: DataFrame, canon: DataFrame) -> DataFrame:
+def hits_versification(verses: DataFrame, canon: DataFrame) -> DataFrame:
     """J-03: books whose counts differ from the canon's; traditions differ, so this only warns."""
     found = totals(verses, ["edition", "usfm"])
     want = canon.select("usfm", F.col("chapters").cast("long").alias("c"), F.col("verses").cast("long").alias("w"))
-    return finding(found.join(want, "usfm").filter((F.col("chapters") != F.col("c")) | (F.col("verses") != F.col("w"))), "versification", "warn", "books that count otherwise", F.col("usfm"))
+    return hits_of(found.join(want, "usfm").filter((F.col("chapters") != F.col("c")) | (F.col("verses") != F.col("w"))), "versification", "warn", "books that count otherwise", F.col("usfm"))
 
 
 # --- slugs -----------------------------------------------------------------------------------------------------------
@@ -216,13 +249,13 @@ def slug_problems(books: DataFrame, by: list[str]) -> DataFrame:
     return books.withColumn("problem", problem).filter(F.col("problem").isNotNull())
 
 
-def check_slugs(books: DataFrame, canon: DataFrame) -> DataFrame:
+def hits_slugs(books: DataFrame, canon: DataFrame) -> DataFrame:
     at = F.concat(F.lit("row "), F.col("n").cast("string"), F.lit(" "), F.col("problem"))
     drift = books.join(canon.select("n", F.col("short").alias("_s")), "n").filter(F.col("short") != F.col("_s"))
     return union(
         [
-            finding(slug_problems(books, ["edition"]), "short_slug", "fail", "shorts that an address can't hold", at),
-            finding(drift, "short_slug", "warn", "shorts that differ from the canon's", F.concat(F.lit("row "), F.col("n").cast("string"))),
+            hits_of(slug_problems(books, ["edition"]), "short_slug", "fail", "shorts that an address can't hold", at),
+            hits_of(drift, "short_slug", "warn", "shorts that differ from the canon's", F.concat(F.lit("row "), F.col("n").cast("string"))),
         ]
     )
 
@@ -238,36 +271,22 @@ def gap_states(verses: DataFrame, disclosure: DataFrame, key: list[str]) -> Data
     return gaps.join(told, key, "full_outer").select(*key, state.alias("state"))
 
 
-def check_gaps(verses: DataFrame, disclosure: DataFrame) -> DataFrame:
+def hits_gaps(verses: DataFrame, disclosure: DataFrame) -> DataFrame:
     told = disclosure.select("edition", "usfm", "chapter", F.col("verse").alias("v"))
     states = gap_states(verses, told, ["edition", *align.KEY])
-    return union(
+    state = F.col("state")
+    return tagged(
+        states,
         [
-            finding(states.filter("state = 'undisclosed'"), "undisclosed_gap", "fail", "gaps that nobody disclosed"),
-            finding(states.filter("state = 'disclosed'"), "gaps", "warn", "disclosed gaps"),
-            finding(states.filter("state = 'stale'"), "gaps", "warn", "disclosures without a gap"),
-        ]
+            ("undisclosed_gap", "fail", "gaps that nobody disclosed", state == "undisclosed", ref()),
+            ("gaps", "warn", "disclosed gaps", state == "disclosed", ref()),
+            ("gaps", "warn", "disclosures without a gap", state == "stale", ref()),
+        ],
     )
 
 
-# --- encoding --------------------------------------------------------------------------------------------------------
-
-
-def check_encoding(verses: DataFrame, lang: Column | None = None) -> DataFrame:
-    """C-21: C1 letters, lost letters, runs of one CJK letter, decomposed text."""
-    lang = F.lit("") if lang is None else lang
-    text = F.col("text")
-    suspects = verses.filter(T.has(text, r"\p{M}")).withColumn("_d", U.decomposed("text")).filter("_d")  # only texts with marks reach Python
-    severity = F.when(lang.isin(*sorted(fixed.PRECOMPOSED)), "fail").otherwise("warn")
-    runs = T.has(text, r"([㐀-䶿一-鿿豈-﫿가-힣])\1{2,}")
-    return union(
-        [
-            finding(verses.filter(T.has(text, r"[\u0080-\u009F]")), "encoding", "fail", "verses with C1 letters"),
-            finding(verses.filter(F.contains(text, F.lit("�"))), "encoding", "fail", "verses that lost letters"),
-            finding(verses.filter(runs), "encoding", "warn", "verses with a run of one CJK letter"),
-            finding(suspects, "encoding", severity, "verses in decomposed form"),
-        ]
-    )
+def check_gaps(verses: DataFrame, disclosure: DataFrame) -> DataFrame:
+    return findings_of(hits_gaps(verses, disclosure))
 
 
 # --- script ----------------------------------------------------------------------------------------------------------
@@ -306,9 +325,9 @@ def top_words(words: DataFrame, by: str, k: int, non_ascii: bool) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def check_script(verses: DataFrame, lang: Column) -> DataFrame:
-    tagged = verses.withColumn("_l", lang)
-    codes = tagged.groupBy("edition").agg(F.first("_l", ignorenulls=True).alias("lang"))
+def hits_script(verses: DataFrame, lang: Column) -> DataFrame:
+    with_lang = verses.withColumn("_l", lang)
+    codes = with_lang.groupBy("edition").agg(F.first("_l", ignorenulls=True).alias("lang"))
     scripts = dominant_script(script_counts(verses, "edition"), "edition")
     want = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(fixed.LANGUAGE_SCRIPT.items()) for x in pair]), F.coalesce("lang", F.lit("")))
     accents = verses.groupBy("edition").agg(F.sum(U.accented_letters("text")).alias("accents"))
@@ -321,13 +340,17 @@ def check_script(verses: DataFrame, lang: Column) -> DataFrame:
         ("fail", F.col("english") >= 0.30, "English function words"),
         ("warn", F.coalesce("lang", F.lit("")).isin(*sorted(fixed.ACCENTED)) & (F.col("accents") / F.col("letters") < 0.005), "no accents"),
     ]
-    return union([finding(all_.filter(when), "script", sev, title, F.coalesce("script", F.lit("-"))) for sev, when, title in kinds])
+    return tagged(all_, [("script", sev, title, when, F.coalesce("script", F.lit("-"))) for sev, when, title in kinds])
+
+
+def check_script(verses: DataFrame, lang: Column) -> DataFrame:
+    return findings_of(hits_script(verses, lang))
 
 
 # --- reports ---------------------------------------------------------------------------------------------------------
 
 
-def check_reports(report: DataFrame, verses: DataFrame) -> DataFrame:
+def hits_reports(report: DataFrame, verses: DataFrame) -> DataFrame:
     """J-08: totals and book counts that a report claims, and repairs that it claims but the text still needs."""
     found = totals(verses, ["edition", "n"])
     sums = verses.groupBy("edition").agg(F.countDistinct("n", "chapter").alias("chapters"), F.count("*").alias("verses"))
@@ -339,25 +362,29 @@ def check_reports(report: DataFrame, verses: DataFrame) -> DataFrame:
     repaired = report.filter(F.coalesce(F.element_at("sanitize", F.lit("c1_mojibake")), F.lit(0)) > 0).join(c1, "edition", "left_semi")
     return union(
         [
-            finding(off, "report_reconciliation", "fail", "report totals that don't hold", F.lit("totals")),
-            finding(catalogue_deltas(found, claimed, ["edition", "n"]), "report_reconciliation", "fail", "book counts that don't hold", F.concat(F.lit("book "), F.col("n").cast("string"))),
-            finding(repaired, "report_reconciliation", "fail", "repairs that didn't happen", F.lit("c1_mojibake")),
+            hits_of(off, "report_reconciliation", "fail", "report totals that don't hold", F.lit("totals")),
+            hits_of(catalogue_deltas(found, claimed, ["edition", "n"]), "report_reconciliation", "fail", "book counts that don't hold", F.concat(F.lit("book "), F.col("n").cast("string"))),
+            hits_of(repaired, "report_reconciliation", "fail", "repairs that didn't happen", F.lit("c1_mojibake")),
         ]
     )
 
 
-def check_provenance(report: DataFrame, vetted: DataFrame) -> DataFrame:
+def hits_provenance(report: DataFrame, vetted: DataFrame) -> DataFrame:
     """J-11: the source file that a report names against the registry's."""
     base = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
     off = report.join(vetted.select(F.col("code").alias("lang"), base("file").alias("_f")), "lang").filter(base("source") != F.col("_f"))
-    return finding(off, "provenance", "warn", "reports that name another source", F.col("source"))
+    return hits_of(off, "provenance", "warn", "reports that name another source", F.col("source"))
+
+
+def check_provenance(report: DataFrame, vetted: DataFrame) -> DataFrame:
+    return findings_of(hits_provenance(report, vetted))
 
 
-def check_source(parsed: DataFrame) -> DataFrame:
+def hits_source(parsed: DataFrame) -> DataFrame:
     """Problems of a source's own reading: (edition, problem) rows of the dialect readers."""
     bad = parsed.filter(F.col("problem").isNotNull())
     at = F.concat_ws(" ", "usfm", F.col("chapter").cast("string"), F.col("v").cast("string"), "problem")
-    return finding(bad, "source_parse", "fail", "source verses that can't be placed", at)
+    return hits_of(bad, "source_parse", "fail", "source verses that can't be placed", at)
 
 
 def verify(
@@ -370,22 +397,21 @@ def verify(
     vetted: DataFrame | None = None,
     lang: Column | None = None,
 ) -> DataFrame:
-    """P-04: findings of all checks over all editions."""
+    """P-04: findings of all checks over all editions. The hits are written once, then counted and listed."""
     parts = [
-        check_doubled(verses, source),
-        check_roundtrip(verses, source),
-        check_forbidden(verses),
-        check_structure(verses, books, source),
-        check_versification(verses, canon),
-        check_slugs(books, canon),
-        check_gaps(verses, disclosure),
-        check_encoding(verses, lang),
-        check_reports(report, verses),
+        hits_doubled(verses, source),
+        hits_roundtrip(verses, source),
+        hits_text(verses, lang),
+        hits_structure(verses, books, source),
+        hits_versification(verses, canon),
+        hits_slugs(books, canon),
+        hits_gaps(verses, disclosure),
+        hits_reports(report, verses),
     ]
     if lang is not None:
-        parts.append(check_script(verses, lang))
+        parts.append(hits_script(verses, lang))
     if vetted is not None:
-        parts.append(check_provenance(report, vetted))
+        parts.append(hits_provenance(report, vetted))
     if source is not None and "problem" in source.columns:
-        parts.append(check_source(source))
-    return union(parts)
+        parts.append(hits_source(source))
+    return findings_of(materialize(union(parts), "verify-hits"))
