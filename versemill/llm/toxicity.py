@@ -19,6 +19,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,24 +204,38 @@ def _term_counts(batches):
         yield pa.RecordBatch.from_arrays(cols, ["word", "toxic", "clean"])
 
 
-def choose_terms(sample: DataFrame, toxic: int, clean: int) -> tuple[list[tuple[str, bool]], frozenset]:
+def _signatures(batches):
+    """The least hash of a text's runs of three words: near copies have the same one, different texts hardly ever."""
+    for b in batches:
+        out = []
+        for raw in raw_texts(b.column(0)):
+            w = words_of(raw)
+            runs = zip(w, w[1:], w[2:]) if len(w) > 2 else [w]
+            out.append(min(xxhash.xxh64_intdigest(b" ".join(r)) for r in runs))
+        signature = pa.array(np.array(out, dtype=np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([signature, b.column(0), b.column(1)], ["signature", "text", "y"])
+
+
+def choose_terms(sample: DataFrame) -> tuple[list[tuple[str, bool]], frozenset]:
     """Lexicon from labelled rows (text, y), and the near forms of its terms that clean rows have.
 
     A word or stem is a term if its share of toxic documents is far above its share of clean ones and enough documents have it.
+    Near copies count once, as what one text happens to say is no evidence however often it is copied.
     """
-    words = materialize(
-        sample.select("text", "y").mapInArrow(_term_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")),
-        "toxicity-words",
-    )
-    least = max(3, toxic // 200)
-    pure = (F.col("toxic") >= least) & ((F.col("clean") + 0.5) / clean * 20 < (F.col("toxic") + 0.5) / toxic)
+    signed = sample.select("text", "y").mapInArrow(_signatures, "signature long, text string, y int")
+    single = materialize(signed.groupBy("signature", "y").agg(F.min("text").alias("text")).select("text", "y"), "toxicity-single")
+    n = single.agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")).first()
+    toxic, clean = n.toxic, n.clean
+    counts = single.mapInArrow(_term_counts, "word string, toxic long, clean long")
+    words = materialize(counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-words")
+    pure = lambda least: (F.col("toxic") >= least) & ((F.col("clean") + 0.5) / clean * 20 < (F.col("toxic") + 0.5) / toxic)
     stems = words.select("*", F.explode(F.array(*[F.lit(n) for n in STEMS])).alias("n")).filter(F.length("word") >= F.col("n"))
     stems = stems.groupBy(F.expr("substring(word, 1, n)").alias("word")).agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("forms")
     )
     best = [F.desc(F.col("toxic") - 20 * F.col("clean")), F.asc("word")]
-    top_stems = stems.filter(pure & (F.col("forms") >= STEM_FORMS) & (F.col("clean") * 50 <= F.col("toxic"))).orderBy(*best).limit(TERMS).collect()
-    top_words = words.filter(pure & (F.length("word") >= 3)).orderBy(*best).limit(TERMS * 4).collect()
+    top_stems = stems.filter(pure(max(3, toxic // 100)) & (F.col("forms") >= STEM_FORMS) & (F.col("clean") * 50 <= F.col("toxic"))).orderBy(*best).limit(TERMS).collect()
+    top_words = words.filter(pure(max(4, toxic // 40)) & (F.length("word") >= 3)).orderBy(*best).limit(TERMS * 4).collect()
     chosen: list[str] = []
     for r in sorted(top_stems, key=lambda r: len(r.word)):
         if not any(r.word.startswith(s) for s in chosen):
@@ -285,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
         return Model([(w, False) for w in SEEDS], frozenset(), DEFAULT)
-    terms, near = choose_terms(sample, toxic, clean)
+    terms, near = choose_terms(sample)
 
     def run(batches):
         matcher = Matcher(terms)
