@@ -174,10 +174,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     found = materialize(ordered.mapInArrow(_pairs, f"part int, role int, text string, {FIELDS}"), "fingerprint-rows")
     heads = found.filter(F.col("role") == HEAD).select("part", F.col("text").alias("next_text"))
     parts = heads.select("part")
-    w = Window.orderBy("part")
-    first = parts.agg(F.min("part").alias("first"))
-    following = parts.select("part", F.lead("part").over(w).alias("next")).crossJoin(F.broadcast(first))  # one row of one number
-    following = following.select("part", F.coalesce("next", "first").alias("next"))
+    first = parts.agg(F.min("part")).first()[0]  # one number; null without rows
+    following = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.lit(first)).alias("next"))
     tails = found.filter(F.col("role") == TAIL).select("part", "doc_id", "text").join(following, "part")
     seams = tails.join(heads.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "next_text")
     done = found.filter(F.col("role") == DONE).select(*(f.split()[0] for f in FIELDS.split(", ")))
