@@ -58,7 +58,7 @@ def test_doubles_against_brute_force(spark):
 def classify(spark, b, s):
     df = spark.createDataFrame([(b, s)], "b string, s string")
     half = F.expr("substring(b, 1, cast(length(b) / 2 as int))")
-    return df.select(T.classify_pair(F.col("b"), F.col("s"), U.loose_key("b"), U.loose_key("s"), U.loose_key(half)).alias("c")).first().c
+    return df.select(T.classify_pair(T.norm_text(F.col("b")), T.norm_text(F.col("s")), U.loose_key("b"), U.loose_key("s"), U.loose_key(half)).alias("c")).first().c
 
 
 @pytest.mark.parametrize(

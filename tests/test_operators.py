@@ -70,7 +70,7 @@ def test_wrap_against_plain_loop(spark):
         segs = [("  ".join("w" * rng.randrange(1, 14) for _ in range(rng.randrange(8))), rng.random() < 0.4) for _ in range(rng.randrange(4))]
         rows.append((i, " ".join(s for s, _ in segs), segs if i % 2 else None))
     df = spark.createDataFrame(rows, "i int, text string, segs array<struct<t: string, r: boolean>>")
-    got = df.select("i", render.wrap(render.coloured_words(F.col("text"), F.col("segs")), 20).alias("l")).collect()
+    got = df.select("i", render.wrap(render.coloured_runs(F.col("text"), F.col("segs")), 20).alias("l")).collect()
     for r in got:
         _, text, segs = rows[r.i]
         words = [(red, w) for t, red in (segs or [(text, False)]) for w in t.split()]

@@ -35,15 +35,32 @@ def normalise(text: Column) -> Column:
     return sub(one, r"\s+([,.;:!?%»›])", "$1")
 
 
+#: White space as Unicode has it. Classes of many ranges are slow, so they are only used where a text has a suspect letter.
+SPACE = r"[\s\u001C-\u001F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+ASCII_SPACE = r"[ \t\n\x0B\f\r\x1C\x1D\x1E\x1F]+"
+_SUSPECT = r"[\u0080-\u00A0\u00AD\u1680\u2000-\u206F\u3000\uFEFF]"
+
+
+def _suspect(text: Column) -> Column:
+    """Whether a text may have white space beyond ASCII, C1 letters or marks without width; ASCII texts are told by their size."""
+    return (F.octet_length(text) != F.length(text)) & has(text, _SUSPECT)
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def norm_text(text: Column) -> Column:
     """C-03: what comparison ignores: C1 letters, marks without width, kinds of white space. Null is empty."""
-    t = F.translate(F.coalesce(text, F.lit("")), C1 + fixed.ZERO_WIDTH, CP1252)
-    return F.trim(sub(t, r"(?U)\s+", " "))
+    t = F.coalesce(text, F.lit(""))
+    full = sub(F.translate(t, C1 + fixed.ZERO_WIDTH, CP1252), SPACE, " ")
+    return F.trim(F.when(_suspect(t), full).otherwise(sub(t, ASCII_SPACE, " ")))
 
 
 def squash(text: Column) -> Column:
     """Without any white space."""
-    return sub(text, r"(?U)\s+", "")
+    return F.when(_suspect(text), sub(text, SPACE)).otherwise(sub(text, ASCII_SPACE))
 
 
 def entity_pass(text: Column) -> Column:
@@ -100,19 +117,20 @@ def prefix_repeat(text: Column, width: int = 40) -> Column:
     return F.when(F.length(text) > width, again).otherwise(F.lit(False))
 
 
-def double_kind(text: Column) -> Column:
-    """C-15: exact, half (near-equal halves), prefix40 or null."""
-    squashed = squash(text)
-    head = norm_text(text)
-    half = (F.length(head) / 2).cast("int")
-    first = F.rtrim(F.substr(head, F.lit(1), half))
-    second = F.rtrim(F.substr(F.trim(F.substr(head, half + 1)), F.lit(1), half))
-    near = F.when(half < 8, prefix_repeat(text)).otherwise(first == second)
-    apart = (F.length(squashed) != F.length(text)) & exact_double(squashed).isNotNull()
+def double_kind(text: Column, head: Column | None = None) -> Column:
+    """C-15: exact, half (near-equal halves), prefix40 or null; `head` is norm_text of the text where it is at hand."""
+
+    def near(head: Column) -> Column:
+        half = (F.length(head) / 2).cast("int")
+        first = F.rtrim(F.substr(head, F.lit(1), half))
+        second = F.rtrim(F.substr(F.trim(F.substr(head, half + 1)), F.lit(1), half))
+        return F.when(half < 8, prefix_repeat(text)).otherwise(first == second)
+
+    apart = let(squash(text), lambda s: (F.length(s) != F.length(text)) & exact_double(s).isNotNull())
     return (
         F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("string"))
         .when(exact_double(text).isNotNull(), "exact")
-        .when(apart | near, "half")
+        .when((let(norm_text(text), near) if head is None else near(head)) | apart, "half")
         .when(prefix_repeat(text), "prefix40")
     )
 
@@ -126,9 +144,9 @@ def gap_kind(text: Column) -> Column:
     return F.when(F.trim(squash(t)) == "", "empty").when(marker, "marker")
 
 
-def classify_pair(built: Column, source: Column, built_key: Column, source_key: Column, half_key: Column) -> Column:
-    """C-16: how a built verse differs from its source; keys are loose_key of the built text, the source and the built text's first half."""
-    b, s = norm_text(built), norm_text(source)
+def classify_pair(b: Column, s: Column, built_key: Column, source_key: Column, half_key: Column) -> Column:
+    """C-16: how a built verse differs from its source, both as norm_text has them; keys are loose_key of the built text, the source
+    and the built text's first half."""
     bs, ss = squash(b), squash(s)
     repeats = (F.length(ss) > 0) & (F.length(bs) > F.length(ss)) & F.endswith(bs, ss)
     repeats = repeats & F.startswith(ss, F.substr(bs, F.lit(1), F.length(bs) - F.length(ss)))
@@ -139,7 +157,7 @@ def classify_pair(built: Column, source: Column, built_key: Column, source_key:
         .when(b == F.concat(s, s), "doubled")
         .when((bs != "") & (bs == F.concat(ss, ss)), "doubled")
         .when(repeats, "prefix_repeat")
-        .when(double_kind(b).isin("exact", "half") & ((source_key == half_key) | (source_key == built_key)), "doubled")
+        .when(double_kind(b, b).isin("exact", "half") & ((source_key == half_key) | (source_key == built_key)), "doubled")
         .when(bs == ss, "ws")
         .when(built_key == source_key, "punct")
         .otherwise("text")

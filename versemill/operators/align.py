@@ -27,19 +27,18 @@ def roundtrip(built: DataFrame, source: DataFrame, by: list[str] = ()) -> DataFr
     Only pairs that aren't equal as they stand reach the Unicode keys in Python.
     """
     key = [*by, *KEY]
-    b = last_of(built.select(*key, "pos", F.coalesce("text", F.lit("")).alias("built")), key).drop("pos")
-    s = last_of(source.select(*key, "pos", F.coalesce("text", F.lit("")).alias("source")), key).drop("pos")
-    both = b.join(s, key, "full_outer")
-    chapters = source.select(*key[:-1]).distinct()
-    b_norm, s_norm = T.norm_text(F.col("built")), T.norm_text(F.col("source"))
-    first = F.when(F.col("built").isNull(), "absent").when(F.col("source").isNull(), "extra").when(b_norm == s_norm, "exact")
-    both = both.withColumn("class", first)
-    done = both.filter(F.col("class").isin("absent", "exact")).unionByName(both.filter(F.col("class") == "extra").join(chapters, key[:-1], "left_semi"))
+    side = lambda d, name: last_of(d.select(*key, "pos", F.coalesce("text", F.lit("")).alias(name)), key).drop("pos")
+    b = side(built, "built").withColumn("_b", T.norm_text(F.col("built")))
+    s = side(source, "source").withColumn("_s", T.norm_text(F.col("source")))
+    chapters = source.select(*key[:-1]).distinct().withColumn("_chapter", F.lit(True))
+    both = b.join(s, key, "full_outer").join(chapters, key[:-1], "left")
+    first = F.when(F.col("built").isNull(), "absent").when(F.col("source").isNull(), F.when(F.col("_chapter"), "extra").otherwise("outside"))
+    both = both.withColumn("_first", first.when(F.col("_b") == F.col("_s"), "exact"))
+    open_ = lambda c: F.when(F.col("_first").isNull(), c)  # noqa: E731  texts of the others stay out of Python
     half = F.expr("substring(_b, 1, cast(length(_b) / 2 as int))")
-    left = both.filter(F.col("class").isNull()).withColumn("_b", T.norm_text(F.col("built")))
-    keyed = left.withColumns({"_bk": U.loose_key("built"), "_sk": U.loose_key("source"), "_hk": U.loose_key(half)})
-    rest = keyed.withColumn("class", T.classify_pair(F.col("built"), F.col("source"), F.col("_bk"), F.col("_sk"), F.col("_hk")))
-    return done.unionByName(rest.select(done.columns))
+    keyed = both.withColumns({"_bk": U.loose_key(open_(F.col("_b"))), "_sk": U.loose_key(open_(F.col("_s"))), "_hk": U.loose_key(open_(half))})
+    kind = F.coalesce("_first", T.classify_pair(F.col("_b"), F.col("_s"), F.col("_bk"), F.col("_sk"), F.col("_hk")))
+    return keyed.withColumn("class", kind).filter("class <> 'outside'").select(*key, "built", "source", "class")
 
 
 def roundtrip_counts(classes: DataFrame, by: list[str] = ()) -> DataFrame:

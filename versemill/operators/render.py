@@ -9,34 +9,35 @@ from versemill.functions import text as T
 
 WIDTH, ROWS = 88, 10
 VERSE_MARK, LINE_MARK, RED_OPEN, RED_CLOSE = "{|}", "{~}", "{r}", "{/r}"
-LINES = "struct<lines: array<struct<red: boolean, text: string>>, red: boolean, text: string>"
+RUNS = "array<struct<red: boolean, text: string>>"
 
 
-def coloured_words(text: Column, segs: Column | None = None) -> Column:
-    """Words with their colour: of the spans where a verse has any, else of its text in plain; margin notes go."""
-    plain = F.transform(F.filter(F.split(T.strip_margins(text), r"\s+"), lambda w: w != ""), lambda w: F.struct(F.lit(False).alias("red"), w.alias("word")))
+def coloured_runs(text: Column, segs: Column | None = None) -> Column:
+    """Runs of one colour with single spaces: of the spans where a verse has any, else its text in plain; margin notes go."""
+    tidy = lambda t: F.trim(F.regexp_replace(T.strip_margins(t), r"\s+", " "))
+    run = lambda red, t: F.struct(red.alias("red"), t.alias("text"))
+    plain = F.array(run(F.lit(False), tidy(text))).cast(RUNS)
     if segs is None:
         return plain
-    of_span = lambda s: F.transform(
-        F.filter(F.split(T.strip_margins(s["t"]), r"\s+"), lambda w: w != ""), lambda w: F.struct(F.coalesce(s["r"], F.lit(False)).alias("red"), w.alias("word"))
-    )
-    return F.when(F.size(F.coalesce(segs, F.array())) > 0, F.flatten(F.transform(segs, of_span))).otherwise(plain)
+    spans = F.filter(F.transform(segs, lambda s: run(F.coalesce(s["r"], F.lit(False)), tidy(s["t"]))), lambda s: s["text"] != "")
+
+    def join(runs: Column, s: Column) -> Column:
+        last = F.element_at(runs, -1)
+        longer = F.array_append(F.slice(runs, F.lit(1), F.size(runs) - 1), run(s["red"], F.concat(last["text"], F.lit(" "), s["text"])))
+        same = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["red"] == s["red"])
+        return F.when(same, longer).otherwise(F.array_append(runs, s)).cast(RUNS)
 
+    return F.when(F.size(F.coalesce(segs, F.array())) > 0, F.aggregate(spans, F.array().cast(RUNS), join)).otherwise(plain)
 
-def wrap(words: Column, width: int = WIDTH) -> Column:
-    """C-25: greedy lines of words of one colour, at most `width` letters unless a single word is longer."""
-    start = F.struct(F.array().cast("array<struct<red: boolean, text: string>>").alias("lines"), F.lit(None).cast("boolean").alias("red"), F.lit("").alias("text")).cast(LINES)
-    line = lambda a: F.struct(a["red"].alias("red"), a["text"].alias("text"))
 
-    def step(a, w):
-        more = F.struct(a["lines"].alias("lines"), a["red"].alias("red"), F.concat_ws(" ", a["text"], w["word"]).alias("text"))
-        fresh = F.struct(
-            F.when(a["red"].isNull(), a["lines"]).otherwise(F.array_append(a["lines"], line(a))).alias("lines"), w["red"].alias("red"), w["word"].alias("text")
-        )
-        fits = (a["red"] == w["red"]) & (F.length(a["text"]) + 1 + F.length(w["word"]) <= width)
-        return F.when(F.coalesce(fits, F.lit(False)), more).otherwise(fresh).cast(LINES)
+def wrap(runs: Column, width: int = WIDTH) -> Column:
+    """C-25: greedy lines of one colour, at most `width` letters unless a single word is longer.
 
-    return F.aggregate(words, start, step, lambda a: F.when(a["red"].isNull(), a["lines"]).otherwise(F.array_append(a["lines"], line(a))))
+    A line is the longest stretch up to the width that ends before a space; the matcher goes on from there.
+    """
+    line = rf"(?s)\S.{{0,{width - 1}}}(?= |\z)|\S{{{width + 1},}}"
+    of_run = lambda r: F.transform(F.regexp_extract_all(r["text"], F.lit(line), 0), lambda t: F.struct(r["red"].alias("red"), t.alias("text")))
+    return F.flatten(F.transform(runs, of_run))
 
 
 def marked(lines: Column) -> Column:

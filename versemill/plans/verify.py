@@ -293,10 +293,22 @@ def check_gaps(verses: DataFrame, disclosure: DataFrame) -> DataFrame:
 
 
 def script_counts(verses: DataFrame, by: str) -> DataFrame:
-    """A-08: letters by script. Texts are cut into letters with their counts before the script of each different letter is looked up."""
-    letters = verses.select(by, F.explode(F.split("text", "")).alias("c")).filter(F.col("c") != "").groupBy(by, "c").agg(F.count("*").alias("n"))
-    scripts = letters.withColumn("script", T.script_of(F.col("c"))).filter(F.col("script") != "")
-    return scripts.groupBy(by, "script").agg(F.sum("n").alias("letters"))
+    """A-08: letters by script: what is left of a text without all letters that are not of the script.
+
+    One row stays one row until the sums; all but the most usual script are only looked for in texts that have other letters.
+    """
+    ranges: dict[str, str] = {}
+    for lo, hi, name in fixed.SCRIPTS:
+        ranges[name] = ranges.get(name, "") + f"\\x{{{lo:X}}}-\\x{{{hi:X}}}"
+    every = "".join(ranges.values())
+    classes = {name: f"[^{r}]" for name, r in ranges.items()} | {"other": rf"[^\p{{L}}]|[{every}]"}
+    text = F.coalesce("text", F.lit(""))
+    unusual = T.has(text, rf"[^\x00-\x{{24F}}\x{{2000}}-\x{{206F}}]")
+    left = {name: F.length(T.sub(text, c)) for name, c in classes.items()}
+    sums = [F.sum(n if name == "latin" else F.when(unusual, n).otherwise(0)).cast("long").alias(name) for name, n in left.items()]
+    wide = verses.groupBy(by).agg(*sums)
+    long = F.explode(F.array(*[F.struct(F.lit(name).alias("script"), F.col(name).alias("letters")) for name in classes])).alias("x")
+    return wide.select(by, long).select(by, "x.*").filter(F.col("letters") > 0)
 
 
 def dominant_script(counts: DataFrame, by: str) -> DataFrame:

@@ -282,7 +282,7 @@ def ui_strings(spark, sf_dir):
     SELECT doc_id, line::INT AS line, array_to_string(w[a:b], ' ') AS text FROM walk JOIN cums USING (doc_id)""",
 )
 def line_wrap(spark, sf_dir):
-    lines = render.wrap(render.coloured_words(F.col("text")))
+    lines = render.wrap(render.coloured_runs(F.col("text")))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("i", "l"))
     return docs.select("doc_id", (F.col("i") + 1).alias("line"), "l.text")
 

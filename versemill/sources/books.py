@@ -127,7 +127,7 @@ def report_json(report: DataFrame) -> DataFrame:
 
 def wrapped(verses: DataFrame, width: int = render.WIDTH) -> DataFrame:
     """Verses with their marked display lines."""
-    lines = render.wrap(render.coloured_words(F.col("text"), F.col("segs")), width)
+    lines = render.wrap(render.coloured_runs(F.col("text"), F.col("segs")), width)
     return verses.withColumn("lines", render.marked(lines))
 
 
