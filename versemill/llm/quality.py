@@ -12,6 +12,8 @@ null have no label; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,39 +44,44 @@ def statistics(raw: bytes) -> np.ndarray:
     """Statistics of a whole text: shares of character classes overall and in the worst line, words, repetition, line shapes."""
     out = np.zeros(N_STATS)
     n = len(raw)
-    words = raw.split()
-    if not words:
-        return out
     x = np.frombuffer(raw, dtype=np.uint8)
     cls = CLASS[x]
+    inside = cls != SPACE
+    starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
+    m = len(starts)
+    if not m:
+        return out
+    ends = np.flatnonzero(inside & np.concatenate((~inside[1:], [True])))
     share = np.bincount(cls, minlength=10) / n
     out[:10] = share
     low = raw.lower().split()
-    m = len(low)
     types = len(set(low))
     out[10] = np.log1p(n) / 10
     out[11] = types / m
     out[12] = types / np.sqrt(m) / 10
-    out[13] = sum(a == b for a, b in zip(low, low[1:])) / m
+    out[13] = sum(map(eq, low, low[1:])) / m
     out[14] = n / m / 10
+    breaks = np.flatnonzero(x == 10)
+    line_starts = np.concatenate(([0], breaks + 1))
+    line_starts = line_starts[line_starts < n]
+    sizes = np.diff(np.concatenate((line_starts, [n])))
     lines = [s for s in raw.split(b"\n") if s.strip()]
     out[15] = 1 - len(set(lines)) / max(1, len(lines))
     out[16] = np.log1p(n / max(1, len(lines))) / 10
-    out[17] = sum(w[-1] in b"!?#$%&*|" for w in words) / m
-    out[18] = sum(w.isupper() for w in words) / m
-    out[19] = sum(w.istitle() for w in words) / m
-    out[20] = sum(w[-1:] in b".,;:" for w in words) / m
+    upper, lower = cls == UPPER, cls == LOWER
+    uppers, lowers = (np.add.reduceat(a, starts, dtype=np.int32) for a in (upper, lower))
+    last = cls[ends]
+    out[17] = ((last == BANG) | (last == SYMBOL) | (last == BAR)).mean()
+    out[18] = ((uppers > 0) & (lowers == 0)).mean()
+    out[19] = (upper[starts] & (uppers == 1)).mean()
+    out[20] = (last == STOP).mean()
     p = share[share > 0]
     out[21] = -(p * np.log(p)).sum()
-    at = np.flatnonzero(x == 10)
-    starts = np.concatenate(([0], at + 1))
-    starts = starts[starts < n]
-    sizes = np.diff(np.concatenate((starts, [n])))
     long = sizes >= 30
     if not long.any():
         long = sizes == sizes.max()
     for k, c in enumerate((UPPER, BANG, SYMBOL, BAR)):
-        out[22 + k] = (np.add.reduceat(cls == c, starts, dtype=np.int64) / sizes)[long].max()
+        out[22 + k] = (np.add.reduceat(cls == c, line_starts, dtype=np.int64) / sizes)[long].max()
     return out
 
 
