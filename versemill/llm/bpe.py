@@ -11,11 +11,23 @@ import base64
 import re
 from array import array
 
-MEMO = 300_000  # pieces remembered by one Python worker
+MEMO = 500_000  # pieces that one Python worker remembers before it starts anew
+# White space other than plain spaces and line ends; the three-byte starts hold more than that, so they are only suspects.
+_ODD_BYTES = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_ODD_STARTS = [b"\xc2\xa0", b"\xc2\x85", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _UNSAFE = re.compile(r"\s \S|\s\s$| \s|^\s")
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _unsafe(text: str) -> bool:
+    """Whether some space of the text may not start a pre-token."""
+    raw = text.encode()
+    if b"  " in raw or b" \n" in raw or b"\n " in raw or raw[:1] in (b" ", b"\n") or raw[-1:] == b" ":
+        return True
+    plain = len(raw.translate(None, _ODD_BYTES)) == len(raw) and (raw.isascii() or not any(x in raw for x in _ODD_STARTS))
+    return not plain and _UNSAFE.search(text) is not None
+
+
 def vocabulary(name: str = "byte_bpe_50k") -> str:
     """Path of a public tokenizer's rank file on this machine."""
     import public_tokenizers
@@ -23,6 +35,21 @@ def vocabulary(name: str = "byte_bpe_50k") -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
+class _Memo(dict):
+    """Ids by piece, each with the space before it, as unsigned 16-bit numbers; letters alone are one pre-token."""
+
+    def __init__(self, core):
+        super().__init__()
+        self.core = core
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.core.encode_single_piece(f" {piece}".encode()) if piece.isalpha() else self.core.encode_ordinary(" " + piece)
+        out = array("H", ids).tobytes()
+        if len(piece) < 64:
+            self[piece] = out
+        return out
+
+
 class Encoder:
     """Ids of the vocabulary in `path` (ranks with the pattern of the public tokenizers), all below 2^16."""
 
@@ -32,29 +59,18 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.memo: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece with its leading space, as unsigned 16-bit numbers."""
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        out = array("H", self.plain(" " + piece)).tobytes()
-        if len(piece) < 64:
-            self.memo[piece] = out
-        return out
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.plain, self.memo = encoding.encode_ordinary, _Memo(encoding._core_bpe)
 
     def pieces(self, text: str) -> list[bytes] | None:
         """Ids of the text's pieces, or None where the text can't be cut at its spaces."""
-        if not text or _UNSAFE.search(text):
+        if not text or _unsafe(text):
             return None
+        if len(self.memo) > MEMO:
+            self.memo.clear()
         parts = text.split(" ")
-        out = list(map(self.memo.get, parts))
+        out = list(map(self.memo.__getitem__, parts))
         out[0] = array("H", self.plain(parts[0])).tobytes()
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    out[i] = self.memo.get(parts[i]) or self._piece(parts[i])
         return out
 
     def ids(self, text: str) -> bytes:
