@@ -113,10 +113,10 @@ def test_isotonic_against_brute_force():
     p = np.minimum(w, rng.randint(0, 4, 12))
     got = isotonic(w, p)
     used = np.flatnonzero(w)
-    y = p[used] / w[used]
-    best = [max(min(np.average(y[a : b + 1], weights=w[used][a : b + 1]) for b in range(i, len(used))) for a in range(i + 1)) for i in range(len(used))]
-    want = [max(np.average(y[a : b + 1], weights=w[used][a : b + 1]) if False else min(np.average(y[a : c + 1], weights=w[used][a : c + 1]) for c in range(i, len(used))) for a in range(i + 1)) for i in range(len(used))]
-    assert np.allclose(got[used], want) and np.allclose(best, want) and (np.diff(got) >= -1e-12).all()
+    y, weights, n = p[used] / w[used], w[used], len(used)
+    mean = lambda a, b: np.average(y[a : b + 1], weights=weights[a : b + 1])
+    want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]  # the max-min formula
+    assert np.allclose(got[used], want) and (np.diff(got) >= -1e-12).all()
 
 
 def test_statistics_of_edge_texts():
