@@ -147,6 +147,14 @@ def test_dialect_corners(spark):
     assert D.harvest(text) == [(1, "Um inicio"), (2, "Dois aqui segue"), (3, "tres")] and D.harvest("sem numero") == []
 
 
+def test_resolve_source():
+    raw = ["raw/por-x.xml", "raw/es.usfx", "raw/es-b.xml"]
+    assert D.resolve_source("por", "given.xml", None, raw) == "given.xml"
+    assert D.resolve_source("por", None, "old/es.usfx", raw) == "raw/es.usfx"
+    assert D.resolve_source("por", None, "gone.xml", raw) == "raw/por-x.xml"
+    assert D.resolve_source("es", None, None, raw) is None
+
+
 def test_book_files(spark, tmp_path):
     (tmp_path / "1.json").write_text('{"1":[{"v":1,"text":"a","segs":[{"t":"a","r":true}]},{"v":2,"text":"b"}],"x":[{"v":1,"text":"c"}]}')
     (tmp_path / "2.json").write_text("not json")

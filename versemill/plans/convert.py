@@ -26,9 +26,9 @@ def repair_totals(repaired: DataFrame, by: list[str]) -> DataFrame:
     return repaired.groupBy(*by).agg(*[F.coalesce(F.sum(f"fixes.{c}"), F.lit(0)).cast("long").alias(c) for c in COUNTERS])
 
 
-def canon_table(spark, rows: list[tuple]) -> DataFrame:
-    """Canon of (usfm, name, short, chapters, verses) in order."""
-    full = [("canon", i, u, dict(zip(fixed.BOOK_IDS, fixed.OSIS_IDS)).get(u), name, short, c, v) for i, (u, name, short, c, v) in enumerate(rows, 1)]
+def canon_table(spark, rows: list[tuple], canon_id: str = "canon") -> DataFrame:
+    """D-01/D-06: a canon of (usfm, name, short, chapters, verses) in order; books are matched by id, never by position."""
+    full = [(canon_id, i, u, dict(zip(fixed.BOOK_IDS, fixed.OSIS_IDS)).get(u), name, short, c, v) for i, (u, name, short, c, v) in enumerate(rows, 1)]
     return spark.createDataFrame(full, "canon_id string, n int, usfm string, osis string, name string, short string, chapters int, verses int")
 
 

@@ -330,3 +330,14 @@ def harvest_chapters(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["usfm", "chapter", "v", "text"]).astype({"chapter": "int32", "v": "int32"})
 
     return texts.mapInPandas(run, "usfm string, chapter int, v int, text string")
+
+
+def resolve_source(lang: str, explicit: str | None, reported: str | None, raw_files: list[str]) -> str | None:
+    """S-14: the source of an edition: the one named, else the one its report names if it is there, else the only raw file of its language."""
+    if explicit:
+        return explicit
+    by_name = {f.rpartition("/")[2]: f for f in raw_files}
+    if reported and reported.rpartition("/")[2] in by_name:
+        return by_name[reported.rpartition("/")[2]]
+    own = [f for name, f in by_name.items() if re.match(rf"{re.escape(lang)}[-_.]", name)]
+    return own[0] if len(own) == 1 else None
