@@ -147,6 +147,25 @@ def test_dialect_corners(spark):
     assert D.harvest(text) == [(1, "Um inicio"), (2, "Dois aqui segue"), (3, "tres")] and D.harvest("sem numero") == []
 
 
+def test_whole_turns_pass_through_every_dialect(spark):
+    import hashlib
+    import re
+
+    from versemill.queries.editions import whole_verses
+
+    odd = ["long " * 400 + "end.", "a & b < c > d &amp; e", "\"q\" 'r' {s} [t]", "back\\slash \\v 2 and \\\\ bar | x|y z", "çé ß Ünï 漢字 😀 .", "// not a note\n\n// nor this", "12 begins with digits"]
+    odd += ["<osis> \"books\" <v n='3'>", "tab\tline\r\nnext\u2003wide\u00a0hard\x0bv\x85n", "bell\x07 end \ufffe", "", None, "<note>kept</note> &#65;"]
+    rows = [(7, i, t) for i, t in enumerate(odd)] + [(8, 0, "only one")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    want = []
+    for c, i, t in rows:
+        t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", " ", t or "")
+        t = re.sub(r" ([,.;:!?%»›])", r"\1", " ".join(t.split()))
+        want += [(d, c, i, len(t), hashlib.md5(t.encode()).hexdigest()) for d in ("osis", "sjson", "usfm", "usfx", "uxlc", "zefania")]
+    got = whole_verses(df).select("dialect", "conv_id", "turn", "chars", "digest").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_resolve_source():
     raw = ["raw/por-x.xml", "raw/es.usfx", "raw/es-b.xml"]
     assert D.resolve_source("por", "given.xml", None, raw) == "given.xml"

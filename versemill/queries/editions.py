@@ -205,9 +205,23 @@ def convert_skipped(spark, sf_dir):
     return converted(spark, sf_dir)["skipped"]
 
 
+#: What stands before, between and after the verses of a file, by dialect.
+_FRAME = {
+    "osis": ("<osis><osisText><div type='book' osisID='Gen'><chapter osisID='Gen.1'>", "", "</chapter></div></osisText></osis>"),
+    "usfx": ("<usfx><book id='GEN'><c id='1'/>", "", "</book></usfx>"),
+    "zefania": ("<XMLBIBLE><BIBLEBOOK bnumber='1'><CHAPTER cnumber='1'>", "", "</CHAPTER></BIBLEBOOK></XMLBIBLE>"),
+    "usfm": ("\\id GEN\n\\c 1\n", "\n", "\n"),
+    "sjson": ('{"books":[{"name":"Genesis","chapters":[{"chapter":1,"verses":[', ",", "]}]}]}"),
+    "uxlc": ("<Tanach><book n='GEN'><c n='1'>", "", "</c></book></Tanach>"),
+}
+
+
 @query("dialect_verses", "SELECT dialect, count(*) AS verses, sum(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))))::BIGINT AS chars FROM (SELECT min(left(regexp_replace(text, '[^A-Za-z \\n]', '', 'g'), 200)) AS text FROM conversations GROUP BY conv_id, turn), (SELECT unnest(['osis', 'usfx', 'zefania', 'usfm', 'sjson', 'uxlc']) AS dialect) GROUP BY dialect")
 def dialect_verses(spark, sf_dir):
-    """S-06..S-11: talks written in six dialects, sniffed and read back; every dialect gives the same verses."""
+    """S-06..S-11: talks written in six dialects, sniffed and read back; every dialect gives the same verses.
+
+    As its SQL says, only the letters A-Z of a turn's first 200 characters are written; dialect_whole_verses writes whole turns.
+    """
     text = F.substr(F.regexp_replace("text", "[^A-Za-z \n]", ""), F.lit(1), F.lit(200))
     raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("t")).groupBy("conv_id", "turn").agg(F.min("t").alias("t"))
     flat = F.trim(F.regexp_replace("t", r"\s+", " "))
@@ -220,18 +234,10 @@ def dialect_verses(spark, sf_dir):
         "sjson": F.concat(F.lit('{"verse":'), v, F.lit(',"text":"'), flat, F.lit('"}')),
         "uxlc": F.concat(F.lit("<v n='"), v, F.lit("'>"), F.regexp_replace(F.concat(F.lit("<w>"), F.regexp_replace(flat, " ", "</w><w>"), F.lit("</w>")), "<w></w>", ""), F.lit("</v>")),
     }
-    frame = {
-        "osis": ("<osis><osisText><div type='book' osisID='Gen'><chapter osisID='Gen.1'>", "", "</chapter></div></osisText></osis>"),
-        "usfx": ("<usfx><book id='GEN'><c id='1'/>", "", "</book></usfx>"),
-        "zefania": ("<XMLBIBLE><BIBLEBOOK bnumber='1'><CHAPTER cnumber='1'>", "", "</CHAPTER></BIBLEBOOK></XMLBIBLE>"),
-        "usfm": ("\\id GEN\n\\c 1\n", "\n", "\n"),
-        "sjson": ('{"books":[{"name":"Genesis","chapters":[{"chapter":1,"verses":[', ",", "]}]}]}"),
-        "uxlc": ("<Tanach><book n='GEN'><c n='1'>", "", "</c></book></Tanach>"),
-    }
     files = None
     for d, expr in verse.items():
         parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", expr.alias("x")))), lambda s: s["x"])
-        head, mark, tail = frame[d]
+        head, mark, tail = _FRAME[d]
         own = raw.groupBy("conv_id").agg(F.concat(F.lit(head), F.array_join(parts, mark), F.lit(tail)).alias("value"))
         own = own.select(F.concat(F.lit(d + "/"), F.col("conv_id").cast("string")).alias("file"), "value")
         files = own if files is None else files.unionByName(own)
@@ -240,6 +246,65 @@ def dialect_verses(spark, sf_dir):
     return rows.groupBy(F.substring_index("file", "/", 1).alias("dialect")).agg(F.count("*").alias("verses"), F.sum(F.length("text")).alias("chars"))
 
 
+_SPACES = "[\\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_NOT_XML = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
+
+
+def _escaped(text, pairs):
+    for mark, code in pairs:
+        text = F.replace(text, F.lit(mark), F.lit(code))
+    return text
+
+
+def _written(text, v):
+    """The verse in each dialect with that dialect's escapes."""
+    xml = _escaped(text, [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")])
+    flat = F.btrim(F.regexp_replace(text, _SPACES, " "))
+    words = F.replace(F.btrim(F.regexp_replace(xml, _SPACES, " ")), F.lit(" "), F.lit("</w><w>"))
+    return {
+        "osis": F.concat(F.lit("<verse osisID='Gen.1."), v, F.lit("'>"), xml, F.lit("<note>n</note></verse>")),
+        "usfx": F.concat(F.lit("<v id='"), v, F.lit("'/>"), xml, F.lit("<ve/>")),
+        "zefania": F.concat(F.lit("<VERS vnumber='"), v, F.lit("'>"), xml, F.lit("</VERS>")),
+        "usfm": F.concat(F.lit("\\v "), v, F.lit(" "), _escaped(flat, [("\\", "\\\\"), ("|", "\\|")])),
+        "sjson": F.to_json(F.struct(v.cast("int").alias("verse"), xml.alias("text"))),
+        "uxlc": F.concat(F.lit("<v n='"), v, F.lit("'>"), F.when(words == "", "").otherwise(F.concat(F.lit("<w>"), words, F.lit("</w>"))), F.lit("</v>")),
+    }
+
+
+@query(
+    "dialect_whole_verses",
+    rf"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(coalesce(min(text), ''), '{_NOT_XML}', ' ', 'g'), '{_SPACES}', ' ', 'g')) AS text FROM conversations GROUP BY conv_id, turn),
+    k AS (SELECT conv_id, turn, regexp_replace(text, ' ([,.;:!?%»›])', '\1', 'g') AS text FROM t)
+    SELECT dialect, conv_id, turn, length(text) AS chars, md5(text) AS digest FROM k, (SELECT unnest(['osis', 'usfx', 'zefania', 'usfm', 'sjson', 'uxlc']) AS dialect)""",
+)
+def dialect_whole_verses(spark, sf_dir):
+    return whole_verses(table(spark, sf_dir, "conversations"))
+
+
+def whole_verses(conversations):
+    """S-06..S-11: whole turns with all their characters, written in six dialects and read back; every dialect gives the same verses.
+
+    Runs of spaces are one, none stands before punctuation, and characters that XML can't hold count as spaces. A file's dialect is sniffed
+    from what stands before its verses, so that a turn's text can't pass for markup.
+    """
+    text = F.regexp_replace(F.coalesce(F.min("text"), F.lit("")), _NOT_XML, " ")
+    turns = conversations.groupBy("conv_id", "turn").agg(text.alias("text"))
+    verses = F.struct("turn", *[x.alias(d) for d, x in _written(F.col("text"), (F.col("turn") + 1).cast("string")).items()])
+    talks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(verses)).alias("s"))
+    files = F.array(*[
+        F.struct(F.lit(d).alias("name"), F.lit(head).alias("head"), F.concat(F.lit(head), F.array_join(F.col(f"s.{d}"), mark), F.lit(tail)).alias("value"))
+        for d, (head, mark, tail) in _FRAME.items()
+    ])
+    files = talks.select("conv_id", F.explode(files).alias("f"))
+    files = files.select(F.concat_ws("/", "f.name", F.col("conv_id").cast("string")).alias("file"), "f.value", dialects.sniff(F.col("f.head")).alias("dialect"))
+    rows = dialects.parse_sources(files).filter(F.col("problem").isNull())
+    name = F.split("file", "/")
+    return rows.select(
+        F.get(name, F.lit(0)).alias("dialect"), F.get(name, F.lit(1)).cast("long").alias("conv_id"), (F.col("v") - 1).cast("long").alias("turn"),
+        F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"),
+    )
+
+
 @query("similarity_ledger")
 def similarity_ledger(spark, sf_dir):
     """Similarity of neighbouring turns by matching blocks, which SQL lacks."""

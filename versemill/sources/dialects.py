@@ -220,15 +220,18 @@ def pairs_in(kinds: list[str]) -> tuple[int, int, int]:
 
 
 def _usfm(raw: str) -> Iterator[tuple]:
-    """S-06: line markers; a line without one goes on with its verse."""
+    """S-06: line markers; a line without one goes on with its verse. A backslash before a backslash or a bar makes it text."""
     book = chapter = v = None
     text: list[str] = []
 
     def give():
         if v is not None:
-            t = re.sub(r"\|[^|]*?(?=\s|\Z)", "", " ".join(text))
+            # Escaped characters stand aside as surrogates, which no file holds.
+            t = " ".join(text).replace("\\\\", "\ud800").replace("\\|", "\ud801")
+            t = re.sub(r"\|[^|]*?(?=\s|\Z)", "", t)
             t = _tidy(re.sub(r"\\[+\-a-zA-Z0-9]+\*?", "", t))
-            yield (book, chapter, v, t, "unknown marker" if "\\" in t else None if book and chapter else "verse outside any book")
+            problem = "unknown marker" if "\\" in t else None if book and chapter else "verse outside any book"
+            yield (book, chapter, v, t.replace("\ud800", "\\").replace("\ud801", "|"), problem)
 
     for line in raw.splitlines():
         line = line.strip()
