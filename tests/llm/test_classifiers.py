@@ -70,6 +70,31 @@ def test_toxicity_is_learned_and_catches_misspellings(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in out)
 
 
+def test_rare_toxic_words_are_learned_in_a_large_sample(spark):
+    rng = random.Random(5)
+    clean = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnrs"]
+    rare = [f"{a}ux{b}im" for a in "hjkp" for b in "tvw"]
+    forms = [f"zlot{a}{b}k" for a in "bcdfghjkpr" for b in "aeiouy"]
+    rows, labels, kind = [], [], {}
+    for i in range(3000):
+        words = [rng.choice(clean) for _ in range(30)]
+        j = i // 4
+        kind[i] = "clean" if i % 4 else "rare" if j < 144 else "stem" if j < 324 else "common"
+        if kind[i] != "clean":
+            words[rng.randrange(30)] = {"rare": rare[j % 12], "stem": forms[j % 60], "common": "grobnik"}[kind[i]]
+        elif i % 200 == 1:
+            words[3], kind[i] = "zlotter", "harmless"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {}
+    for r in score_toxicity(docs, lab).collect():
+        if r.held_out:
+            found.setdefault(kind[r.doc_id], []).append(r.predicted)
+    assert np.mean(found["rare"]) > 0.9 and np.mean(found["stem"]) > 0.9 and np.mean(found["common"]) > 0.9
+    assert not any(found["clean"]) and not any(found["harmless"])
+
+
 def quality_rows():
     rng = random.Random(3)
     vocab = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnrs"]

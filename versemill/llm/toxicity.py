@@ -180,7 +180,7 @@ N_FEATURES = 6
 def features(matcher: Matcher, text: str, raw: bytes, clean: frozenset) -> list[float]:
     """Constant; exact and near hits as abuse; reported ones; hits by words; different terms."""
     words = words_of(raw)
-    hits = [h for h in matcher.find(words) if not h[2] or words[h[0]] not in clean]
+    hits = [h for h in matcher.find(words) if words[h[0]] not in clean]
     if not hits:
         return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
     reported = quoted(text, [h[0] for h in hits])
@@ -217,9 +217,10 @@ def _signatures(batches):
 
 
 def choose_terms(sample: DataFrame) -> tuple[list[tuple[str, bool]], frozenset]:
-    """Lexicon from labelled rows (text, y), and the near forms of its terms that clean rows have.
+    """Lexicon from labelled rows (text, y), and the harmless words of clean rows that meet a term by an edit or by a stem.
 
-    A word or stem is a term if its share of toxic documents is far above its share of clean ones and enough documents have it.
+    A word or stem is a term if its share of toxic documents is far above its share of clean ones and so many have it that of all
+    words less than one would get there by chance. That number grows with the logarithm of the vocabulary, not with the sample.
     Near copies count once, as what one text happens to say is no evidence however often it is copied.
     """
     signed = sample.select("text", "y").mapInArrow(_signatures, "signature long, text string, y int")
@@ -229,13 +230,15 @@ def choose_terms(sample: DataFrame) -> tuple[list[tuple[str, bool]], frozenset]:
     counts = single.mapInArrow(_term_counts, "word string, toxic long, clean long")
     words = materialize(counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-words")
     pure = lambda least: (F.col("toxic") >= least) & ((F.col("clean") + 0.5) / clean * 20 < (F.col("toxic") + 0.5) / toxic)
+    chance = np.log(max(words.count(), 2)) / np.log((toxic + clean) / toxic)
+    least = max(4, int(np.ceil(chance)))
     stems = words.select("*", F.explode(F.array(*[F.lit(n) for n in STEMS])).alias("n")).filter(F.length("word") >= F.col("n"))
     stems = stems.groupBy(F.expr("substring(word, 1, n)").alias("word")).agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("forms")
     )
-    best = [F.desc(F.col("toxic") - 20 * F.col("clean")), F.asc("word")]
-    top_stems = stems.filter(pure(max(3, toxic // 100)) & (F.col("forms") >= STEM_FORMS) & (F.col("clean") * 50 <= F.col("toxic"))).orderBy(*best).limit(TERMS).collect()
-    top_words = words.filter(pure(max(4, toxic // 40)) & (F.length("word") >= 3)).orderBy(*best).limit(TERMS * 4).collect()
+    best = [F.desc(F.col("toxic") * clean - 20 * F.col("clean") * toxic), F.asc("word")]
+    top_stems = stems.filter(pure(least) & (F.col("forms") >= STEM_FORMS)).orderBy(*best).limit(TERMS).collect()
+    top_words = words.filter(pure(least) & (F.length("word") >= 3)).orderBy(*best).limit(TERMS * 4).collect()
     chosen: list[str] = []
     for r in sorted(top_stems, key=lambda r: len(r.word)):
         if not any(r.word.startswith(s) for s in chosen):
@@ -244,13 +247,13 @@ def choose_terms(sample: DataFrame) -> tuple[list[tuple[str, bool]], frozenset]:
     for r in top_words:
         if len(terms) < TERMS and r.word not in SEEDS and not any(r.word.startswith(s) for s in chosen):
             terms.append((r.word, False))
-    matcher_terms = list(terms)
+    matcher_terms, whole = list(terms), {w for w, stem in terms if not stem}
 
     def near(batches):
         matcher = Matcher(matcher_terms)
         for b in batches:
-            got = [matcher.match(w) for w in b.column(0).to_pylist()]
-            yield b.filter(pa.array([g is not None and g[1] > 0 for g in got], pa.bool_()))
+            met = [w not in whole and matcher.match(w) is not None for w in b.column(0).to_pylist()]
+            yield b.filter(pa.array(met, pa.bool_()))
 
     forms = words.filter((F.col("clean") > 0) & (F.col("clean") * 4 >= F.col("toxic"))).select("word").mapInArrow(near, "word string")
     return terms, frozenset(r.word.encode() for r in forms.limit(20 * TERMS).collect())
