@@ -95,6 +95,14 @@ def test_rare_toxic_words_are_learned_in_a_large_sample(spark):
     assert not any(found["clean"]) and not any(found["harmless"])
 
 
+def test_all_harmless_near_forms_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TERMS", 1)
+    forms = ["patheti" + c for c in "abdefghijklmnopqrstuvwxyz"]
+    rows = [(f"{w} stands here {i}", 0) for i, w in enumerate(forms)] + [(f"an idiot of kind {i}", 1) for i in range(5)]
+    _, harmless = toxicity.choose_terms(spark.createDataFrame(rows, "text string, y int"))
+    assert {w.encode() for w in forms} <= harmless
+
+
 def quality_rows():
     rng = random.Random(3)
     vocab = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnrs"]

@@ -256,7 +256,7 @@ def choose_terms(sample: DataFrame) -> tuple[list[tuple[str, bool]], frozenset]:
             yield b.filter(pa.array(met, pa.bool_()))
 
     forms = words.filter((F.col("clean") > 0) & (F.col("clean") * 4 >= F.col("toxic"))).select("word").mapInArrow(near, "word string")
-    return terms, frozenset(r.word.encode() for r in forms.limit(20 * TERMS).collect())
+    return terms, frozenset(r.word.encode() for r in forms.collect())  # the sample bounds them
 
 
 #: Weights where there is nothing to learn from, in the order of features().
