@@ -48,8 +48,8 @@ def test_against_brute_force(spark):
         own = tokens(t)
         base = sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)
         want.append((-1 if d is None else d, crc(d) % 5 == 1, len(own), sum(uni[w] > 0 for w in own), n, round(base, 7)))
-    for size in (100, 2_000_000):
-        got = lm.score_texts(df, size).collect()
+    for size, group in ((100, 1024), (2_000_000, 1024), (100, 7), (300, 1)):
+        got = lm.score_texts(df, size, group).collect()
         mine = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7)) for r in got]
         assert sorted(mine) == sorted(want)
         held = [r for r in got if r.held_out]
@@ -93,3 +93,28 @@ def test_weights_are_learned():
 
 def test_empty(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def block(chunk, deleted, keys, counts, slot=3):
+    keys = np.array(keys, dtype=np.uint64)
+    head = int(keys[0]).to_bytes(8, "little")
+    return (slot, 0, chunk, deleted, len(keys), head, lm._delta(keys), lm._planes(np.array(counts, dtype=np.int64), 8))
+
+
+def test_counts_beyond_32_bits():
+    big = 2**40
+    asked = lm._table([block(1, False, [5, 9, 2**63], [big, 1, 0]), block(2, True, [9, 2**63], [big, 7]), block(3, False, [5], [3])], lm.ASKED)
+    out = {r["chunk"]: r for r in lm._answer(asked).to_pylist()}
+    total = {c: lm._unplanes(r["total"], r["n"], 8).tolist() for c, r in out.items() if c}
+    kept = {c: lm._unplanes(r["kept"], r["n"], 8).tolist() for c, r in out.items() if c}
+    assert total == {1: [big + 3, big + 1, 7], 2: [big + 1, 7], 3: [big + 3]}
+    assert kept == {1: [big + 3, 1, 0], 2: [1, 0], 3: [big + 3]}
+    assert (out[None]["distinct_kept"], out[None]["distinct"]) == (2, 3)
+
+
+def test_long_text_and_columns_of_the_same_names(spark):
+    rows = [(1, "a b " * 300_000, 5, True), (2, "a b", 6, None), (3, "c", 7, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, chunk int, held_out boolean")
+    got = {r.doc_id: r for r in lm.score_texts(df, 1000).collect()}
+    assert {d: r.n_tokens for d, r in got.items()} == {1: 600_001, 2: 3, 3: 2}
+    assert all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in got.values())

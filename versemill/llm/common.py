@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: A-Z to a-z and every ASCII byte that is no letter or digit to a space; bytes from 0x80 on stay, so that
 #: `text.translate(WORD_BYTES).split()` gives the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text.
@@ -29,6 +30,12 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def each_raw(column: pa.Array):
+    """The same, one by one, a few of them in memory as Python objects."""
+    for i in range(0, len(column), 64):
+        yield from raw_texts(column.slice(i, 64))
+
+
 def texts(column: pa.Array) -> list[str]:
     """Strings of a column; null is empty."""
     return [x or "" for x in column.to_pylist()]
@@ -37,3 +44,15 @@ def texts(column: pa.Array) -> list[str]:
 def crc_fold(doc_id: int | None, folds: int) -> int:
     """crc32 of the id as text, modulo `folds`; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
+
+
+def unused_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that start with the stems and that `df` doesn't have, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
