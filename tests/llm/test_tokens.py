@@ -1,16 +1,17 @@
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from versemill.llm.bpe import encoder, vocabulary
+from versemill.llm.bpe import ADDED, ADDED_ID, encoder, vocabulary
 from versemill.llm.packing import Schedule, pack, queue_totals
 from versemill.llm.tokencount import TokenTree, sample_edits, token_counts
 
-SNIPPETS = ["word", " the", "  ", "\n", "\n\n", " \n", "\t", "é", "ß!", "don't", "'s", "123", "  x", " ", "中文", "a" * 30, " , ", "", "😀", "$$$", "<|endoftext|>", " "]
+SNIPPETS = ["word", " the", "  ", "\n", "\n\n", " \n", "\t", "é", "ß!", "don't", "'s", "123", "  x", " ", "中文", "a" * 30, " , ", "", "😀", "$$$", "<|endoftext|>", " ", "<|endof", "text|>", "<|"]
 
 
 def random_text(rng, n=30):
@@ -20,7 +21,6 @@ def random_text(rng, n=30):
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -31,6 +31,17 @@ def test_ids_equal_the_public_tokenizer(plain):
         assert np.frombuffer(enc.ids(text), dtype="<u2").tolist() == plain(text), repr(text)
 
 
+def test_the_added_token(plain):
+    enc = encoder()
+    for text in (ADDED, f"a {ADDED} b", f"{ADDED}{ADDED}", f"  {ADDED}  ", f"!!{ADDED}!!", f"x\n\n{ADDED}\n", ADDED[:-1], ADDED[1:], f"<|{ADDED}|>"):
+        assert np.frombuffer(enc.ids(text), dtype="<u2").tolist() == plain(text), text
+        assert "".join(enc.split(text)) == text
+    assert plain(ADDED) == [ADDED_ID]
+    tree = TokenTree("some words <|endof", enc)
+    assert tree.edit(18, 18, "text|> and more") == len(plain(f"some words {ADDED} and more"))
+    assert tree.edit(13, 14, "") == len(plain("some words <|ndoftext|> and more"))
+
+
 def test_edits_equal_counting_anew():
     rng, enc = random.Random(2), encoder(vocabulary())
     for trial in range(150):
@@ -81,6 +92,63 @@ def test_schedule_meets_targets_and_carries_deficits():
     assert big.given(np.array([10**8, 10**8 + 1])).sum(axis=1).tolist() == [2048 * 10**8, 2048 * (10**8 + 1)]
 
 
+def played(totals, weights, length):
+    """Tokens given before each window, played with exact fractions: credit, whole tokens, then the largest deficits."""
+    ideal, out = [Fraction(0)] * len(totals), [[0] * len(totals)]
+    while sum(out[-1]) < sum(totals):
+        room = Fraction(min(length, sum(totals) - sum(out[-1])))
+        while room:
+            live = [q for q, w in enumerate(weights) if w and ideal[q] < totals[q]] or [q for q in range(len(totals)) if ideal[q] < totals[q]]
+            w = {q: weights[q] or 1 for q in live}
+            step = min(room, *((totals[q] - ideal[q]) * sum(w.values()) / w[q] for q in live))
+            for q in live:
+                ideal[q] += step * w[q] / sum(w.values())
+            room -= step
+        own = [int(x) for x in ideal]
+        left = round(sum(ideal)) - sum(own)
+        live_weight = [x - int(x) for x in ideal]
+        for q in sorted(range(len(own)), key=lambda q: (-live_weight[q], q))[:left]:
+            own[q] += 1
+        out.append(own)
+    return out
+
+
+def test_schedule_equals_the_played_one():
+    rng = random.Random(8)
+    for _ in range(400):
+        n, length = rng.randrange(1, 6), rng.choice([16, 64])
+        totals = [rng.randrange(1, 900) for _ in range(n)]
+        weights = rng.choice([totals, [rng.randrange(1, 10) for _ in range(n)], [*[rng.randrange(1, 5) for _ in range(n - 1)], 0]])
+        if any(0 < w * length < sum(weights) for w in weights):
+            continue
+        s = Schedule(totals, length, weights)
+        given = s.given(np.arange(s.windows + 1))
+        assert given.tolist() == played(totals, weights, length), (totals, weights, length)
+        assert (np.diff(given, axis=0) >= 0).all() and given[-1].tolist() == totals
+        for q, t in enumerate(totals):
+            for at in range(0, t, 7):
+                w = s.window_of(q, at)
+                assert given[w][q] <= at, (totals, weights, q, at)
+
+
+def test_pack_to_targets(spark):
+    rows = [(i, "word " * 50, "abc"[i % 3] if i % 10 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    pieces = pack(df, length=256, targets={"a": 0.5, "b": 0.25}).collect()
+    source, n, whole = {d: s for d, _, s in rows}, {}, {}
+    for p in pieces:
+        n[p.sequence_id, source[p.doc_id]] = n.get((p.sequence_id, source[p.doc_id]), 0) + p.length
+        whole[p.doc_id] = whole.get(p.doc_id, 0) + p.length
+    assert all(whole[p.doc_id] == p.doc_tokens for p in pieces) and len(whole) == len(rows)
+    total = {s: sum(v for (_, x), v in n.items() if x == s) for s in ("a", "b")}
+    dry = int(total["a"] * 1.5) // 256  # a runs dry first
+    assert all(abs(n[w, "a"] - 256 * 2 / 3) <= 1 and abs(n[w, "b"] - 256 / 3) <= 1 for w in range(dry))
+    late = {w for (w, s) in n if s in ("c", None)}
+    assert min(late) >= (total["a"] + total["b"]) // 256
+    with pytest.raises(ValueError):
+        pack(df, length=256, targets={"a": 1, "b": 0.001})
+
+
 def test_small_sources_share_a_queue():
     assert queue_totals([5000, 5000], 3, 100) == [5000, 5003]
     assert queue_totals([5000, 5000], 500, 100) == [5000, 5000, 500]

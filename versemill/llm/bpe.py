@@ -3,6 +3,8 @@
 A space between two characters that aren't white space always starts a pre-token, and what follows it is split and encoded
 independently of what stands before. So texts are cut at such spaces, and the ids of each piece are remembered. Texts with white space
 beside a space are encoded whole where that cut would not be exact.
+
+The vocabulary's added token stands for its string wherever that stands in a text; what lies between is encoded by itself.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ import base64
 import re
 from array import array
 
+# Fixed value: the string of the vocabulary's added token, and its id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 MEMO = 500_000  # pieces that one Python worker remembers before it starts anew
 # White space other than plain spaces and line ends; the three-byte starts hold more than that, so they are only suspects.
 _ODD_BYTES = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_STARTS = [b"\xc2\xa0", b"\xc2\x85", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _UNSAFE = re.compile(r"\s \S|\s\s$| \s|^\s")
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[str | None, "Encoder"] = {}
 
 
 def _unsafe(text: str) -> bool:
@@ -51,20 +55,45 @@ class _Memo(dict):
 
 
 class Encoder:
-    """Ids of the vocabulary in `path` (ranks with the pattern of the public tokenizers), all below 2^16."""
+    """Ids of the vocabulary in `path` (ranks with the pattern of the public tokenizers), all below 2^16.
+
+    Without a path it is looked up where the encoder is made, that is on the worker.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None):
         import public_tokenizers
+        import regex
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path or vocabulary(), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.plain, self.memo = encoding.encode_ordinary, _Memo(encoding._core_bpe)
+        self._ordinary, self.memo = encoding.encode_ordinary, _Memo(encoding._core_bpe)
+        self._pre_tokens = regex.compile(public_tokenizers.PATTERN).findall
+
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text, without the memo."""
+        if ADDED not in text:
+            return self._ordinary(text)
+        first, *rest = text.split(ADDED)
+        out = self._ordinary(first)
+        for part in rest:
+            out.append(ADDED_ID)
+            out += self._ordinary(part)
+        return out
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text; the added token's string is one."""
+        first, *rest = text.split(ADDED)
+        out = self._pre_tokens(first)
+        for part in rest:
+            out.append(ADDED)
+            out += self._pre_tokens(part)
+        return out
 
     def pieces(self, text: str) -> list[bytes] | None:
         """Ids of the text's pieces, or None where the text can't be cut at its spaces."""
-        if not text or _unsafe(text):
+        if not text or _unsafe(text) or ADDED in text:
             return None
         if len(self.memo) > MEMO:
             self.memo.clear()
@@ -79,7 +108,7 @@ class Encoder:
         return array("H", self.plain(text)).tobytes() if found is None else b"".join(found)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str | None = None) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -5,11 +5,13 @@ tree over the slots holds subtree sums of both. An edit touches the slots that i
 pre-token boundary may look at. Only their text is split and encoded again, up to the first old slot boundary that is still a
 pre-token boundary, and the sums on the paths above are updated.
 
-Splitting is left to right and looks at most two characters beyond a pre-token's end, so what ends at least two characters before an
-edit stays, and what starts at a boundary after it stays as well: counts equal those of encoding the edited text anew.
+Splitting is left to right and looks beyond a pre-token's end at most two characters, or as many as the string of the vocabulary's added
+token has, so what ends CONTEXT characters before an edit stays, and what starts at a boundary after it stays as well: counts equal
+those of encoding the edited text anew.
 
 Defined results: null is the empty text and has no tokens; edits beyond the text's ends are cut to it; repeated rows each
-give a row; an empty table gives an empty result.
+give a row; an empty table gives an empty result; columns other than doc_id and text are not looked at, whatever their names. Texts are
+counted whole: a task holds one document's tree at a time, about ten bytes for each character.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm.bpe import Encoder, encoder, vocabulary
+from versemill.llm.bpe import ADDED, Encoder, encoder
 from versemill.llm.common import texts
 from versemill.session import ship
 
 SLOT = 16
-CONTEXT = 3  # characters before an edit that belong to its region
+CONTEXT = len(ADDED) + 2  # characters before an edit that belong to its region
 AHEAD = 64  # characters after a region that the split may look at
 
 
@@ -34,10 +36,7 @@ class TokenTree:
     """Token count of one text under edits."""
 
     def __init__(self, text: str, enc: Encoder):
-        import public_tokenizers
-        import regex
-
-        self.enc, self.split = enc, regex.compile(public_tokenizers.PATTERN)
+        self.enc = enc
         self.encoded = 0  # characters encoded by edits
         leaves, counts = self._leaves(text)
         self.slots: list[str] = []
@@ -51,7 +50,7 @@ class TokenTree:
         """Runs of whole pre-tokens and their token counts."""
         found = self.enc.pieces(text)
         if found is None:
-            leaves = self.split.findall(text)
+            leaves = self.enc.split(text)
             return leaves, [len(self.enc.plain(x)) for x in leaves]
         parts = text.split(" ")
         return [parts[0], *(" " + p for p in parts[1:])], [len(x) // 2 for x in found]
@@ -120,7 +119,7 @@ class TokenTree:
         region = "".join(self.slots[first : last + 1])
         region = region[: start - before] + new + region[end - before :]
         while True:
-            leaves = self.split.findall(region + self._after(last))
+            leaves = self.enc.split(region + self._after(last))
             ends = list(accumulate(map(len, leaves), initial=0))
             if len(region) in ends:
                 break
@@ -156,7 +155,7 @@ def sample_edits(n_chars: int, text: str) -> list[tuple[int, int, str]]:
 FIELDS = "doc_id long, n_chars long, n_tokens long, edited_chars long, edited_tokens long, encoded_again long"
 
 
-def _counter(path: str):
+def _counter(path: str | None):
     def run(batches):
         enc = encoder(path)
         for b in batches:
@@ -177,4 +176,4 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: tokens before and after the sample edits, and the characters that the edits made to be encoded again."""
     ship(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return src.mapInArrow(_counter(path or vocabulary()), FIELDS)
+    return src.mapInArrow(_counter(path), FIELDS)
