@@ -53,21 +53,38 @@ def test_digest_against_brute_force_in_one_and_many_blocks(spark, monkeypatch):
         words = [w.decode() for w in dc.words_of((text or "").encode())]
         n, found = brute(words, items)
         want.append((doc_id, len(words), n, len([x for x in found if x != "None"]), n > 0))
-    for block in (200_000, 15):
-        monkeypatch.setattr(dc, "BLOCK_WORDS", block)
-        got = dc.leak_digest(dc.find_leaks(d, b)).collect()
+    for block, words in ((100_000, 2_000_000), (4, 2_000_000), (4, 60)):
+        monkeypatch.setattr(dc, "BLOCK", block)
+        got = dc.leak_digest(dc.find_leaks(d, b, pass_words=words)).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == sorted(want)
 
 
-def test_removal_keeps_clean_rows_and_all_columns(spark, monkeypatch):
+def test_removal_keeps_clean_rows_and_all_columns(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     docs = [(1, f"Before it. {passage.upper()}! after é", 48, "x"), (2, "clean  text", 11, "y"), (3, passage, 1, "z"), (4, None, None, "n")]
-    d = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, text_ string")
+    docs += [(2, "clean  text", 11, "y"), (None, "nobody's", None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, leak_spans string")
     b = spark.createDataFrame([(1, passage), (2, "zip zap")], "item_id long, text string")
-    for block in (200_000, 2):
-        monkeypatch.setattr(dc, "BLOCK_WORDS", block)
-        got = {r.doc_id: tuple(r) for r in dc.remove_leaks(d, b).collect()}
-        assert got == {1: (1, "Before it. ! after é", 20, "x"), 2: docs[1], 4: docs[3]}
+    for words in (200_000, 2):
+        got = dc.remove_leaks(d, b, pass_words=words)
+        assert got.columns == d.columns
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, "Before it. ! after é", 20, "x"), docs[1], *docs[3:]]))
+
+
+def test_a_pass_is_one_python_stage(spark):
+    d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    b = spark.createDataFrame([(i, f"w{i} " * 30) for i in range(40)], "item_id long, text string")
+    for words in (2_000_000, 100):
+        plan = dc.find_leaks(d, b, pass_words=words)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+
+
+def test_long_texts_are_searched_whole(spark):
+    item = "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10"
+    rows = [(1, "x1 x2 y " * 40_000 + item + " x1" * 30_000), (2, "x9 " * 1_100_000)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in dc.leak_digest(dc.find_leaks(d, b)).collect()}
+    assert got == {1: (150_010, 10), 2: (1_100_000, 0)}
 
 
 def test_empty_tables(spark):

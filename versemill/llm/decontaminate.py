@@ -6,12 +6,13 @@ rare words cost nothing. Over that sequence a suffix array gives the Burrows-Whe
 and every window is searched backwards at once. Occurrences are located by walking to sampled suffix positions, and
 the windows found in a document merge into removal spans.
 
-The benchmark is searched in blocks of at most BLOCK_WORDS words, each of which is sent to the executors; a larger benchmark makes
-more blocks, so what is sent at once doesn't grow. Shards hold at most SHARD_WORDS words.
+A pass over the documents is one Python stage that searches up to PASS_WORDS words of benchmark in every shard's index, BLOCK windows at a
+time. That bounds what is sent to the executors; a larger benchmark takes more passes, with a table in the shared folder between them. Shards
+hold at most SHARD_WORDS words, or one document.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no windows; repeated documents each
-get their hits, repeated item ids count once; a null item id has no name and is left out of item lists but its windows hit;
-empty tables give empty results or no hits.
+get their hits, repeated item ids count once; a null item id has no name and is left out of item lists but its windows hit; texts are
+searched whole whatever their length; all columns of documents stay, whatever their names; empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm.common import WORD_BYTES, raw_texts, words_of
-from versemill.session import ship
+from versemill.llm.common import WORD_BYTES, raw_texts, unused_names, words_of
+from versemill.session import materialize, ship
 
 WINDOW = 10
-BLOCK_WORDS = 200_000
+PASS_WORDS = 2_000_000  # of benchmark in a pass: at most 8 MB of word numbers, as much of windows, and the words
+BLOCK = 100_000  # windows that are searched at once
 SHARD_WORDS = 1_000_000
 SAMPLE = 16
 
@@ -124,29 +126,52 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of benchmark items as arrays of word numbers by window length, with the items that have them."""
+    """Different windows of benchmark items by their length, as places in one sequence of word numbers, with the items that have them."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        found: dict[tuple, set] = {}
-        for item_id, text in items:
+        self.names = [None if item_id is None else str(item_id) for item_id, _ in items]
+        flat, at = [], 0
+        found: dict[int, list[tuple[int, int]]] = {}  # length -> (place, item)
+        for i, (_, text) in enumerate(items):
             ids = [self.vocab.setdefault(w, len(self.vocab) + 2) for w in words_of((text or "").encode())]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item_id)
-        self.by_length: dict[int, tuple[np.ndarray, list[tuple]]] = {}
-        for n in {len(w) for w in found}:
-            own = sorted(w for w in found if len(w) == n)
-            self.by_length[n] = np.array(own, dtype=np.int64), [tuple(sorted((x for x in found[w] if x is not None), key=str)) for w in own]
+            if ids:
+                starts = range(at, at + max(1, len(ids) - window + 1))
+                found.setdefault(min(window, len(ids)), []).extend((s, i) for s in starts)
+            flat += ids
+            at += len(ids)
+        self.flat = np.array(flat, dtype=np.int32)
+        #: length -> places of different windows; where each one's items begin in the list of items; that list
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, pairs in found.items():
+            starts, owners = np.array(pairs, dtype=np.int64).T
+            rows = np.ascontiguousarray(self.flat[starts[:, None] + np.arange(n)]).view(f"V{4 * n}").ravel()
+            _, first, same = np.unique(rows, return_index=True, return_inverse=True)
+            both = np.unique(same * len(items) + owners)
+            bounds = np.searchsorted(both, np.arange(len(first) + 1) * len(items))
+            self.by_length[n] = starts[first].astype(np.int32), bounds.astype(np.int32), (both % len(items)).astype(np.int32)
         self.shortest = min(self.by_length, default=0)
 
+    def blocks(self):
+        """(length, windows, number of the first one) of at most BLOCK windows each."""
+        for n, (starts, _, _) in sorted(self.by_length.items()):
+            for i in range(0, len(starts), BLOCK):
+                yield n, self.flat[starts[i : i + BLOCK, None] + np.arange(n)].astype(np.int64), i
+
+    def items(self, length: int, window: int) -> list[str]:
+        _, bounds, owners = self.by_length[length]
+        return [x for x in (self.names[i] for i in owners[bounds[window] : bounds[window + 1]].tolist()) if x is not None]
+
 
 def shard_hits(docs: list[list], phrases: Phrases) -> list[tuple[list, set]]:
     """For each document of a shard, given as word numbers with None for unknown: merged spans [first, end) and item ids.
 
     Builds the shard's FM-index over its runs of known words and searches all windows in it.
     """
+    spans: list[list] = [[] for _ in docs]
+    items: list[set] = [set() for _ in docs]
     parts, starts, owners, offsets, at = [], [], [], [], 0
-    for d, ids in enumerate(docs):
+    for d, ids in enumerate(docs if phrases.shortest else []):
         i, n = 0, len(ids)
         for stop in [*_unknown(ids), n]:
             if stop - i >= phrases.shortest:
@@ -157,13 +182,11 @@ def shard_hits(docs: list[list], phrases: Phrases) -> list[tuple[list, set]]:
                 offsets.append(i)
                 at += stop - i + 1
             i = stop + 1
-    spans: list[list] = [[] for _ in docs]
-    items: list[set] = [set() for _ in docs]
     if not parts:
         return list(zip(spans, items))
     index = FMIndex(np.array(parts, dtype=np.int64), len(phrases.vocab) + 2)
     starts_a = np.array(starts)
-    for length, (patterns, names) in phrases.by_length.items():
+    for length, patterns, number in phrases.blocks():
         lo, hi = index.search(patterns)
         many = hi - lo
         hit = np.flatnonzero(many)
@@ -172,10 +195,13 @@ def shard_hits(docs: list[list], phrases: Phrases) -> list[tuple[list, set]]:
         rows = np.repeat(lo[hit], many[hit]) + np.arange(many[hit].sum()) - np.repeat(np.cumsum(many[hit]) - many[hit], many[hit])
         where, which = index.locate(rows), np.repeat(hit, many[hit])
         run = np.searchsorted(starts_a, where, side="right") - 1
+        met = set()
         for p, w, r in zip(where.tolist(), which.tolist(), run.tolist()):
             first = offsets[r] + p - starts[r]
             spans[owners[r]].append((first, first + length))
-            items[owners[r]].update(names[w])
+            met.add((owners[r], w))
+        for d, w in met:
+            items[d].update(phrases.items(length, number + w))
     return [(_merge(s), i) for s, i in zip(spans, items)]
 
 
@@ -200,75 +226,74 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _shards(batches, phrases: Phrases):
-    """Rows of a partition in shards of at most SHARD_WORDS words (or one document): batch columns, texts, words, hits."""
+def _found(raws: list[bytes], phrases: Phrases):
+    """(number of words, spans, items) of texts, in shards of at most SHARD_WORDS words (or one text)."""
     get = phrases.vocab.get
     held, size = [], 0
-    for b in batches:
-        for row, raw in enumerate(raw_texts(b.column("text"))):
-            words = words_of(raw)
-            if held and size + len(words) > SHARD_WORDS:
-                yield held, shard_hits([h[3] for h in held], phrases)
-                held, size = [], 0
-            held.append((b, row, raw, list(map(get, words))))
-            size += len(words)
-    if held:
-        yield held, shard_hits([h[3] for h in held], phrases)
+    for raw in raws:
+        ids = list(map(get, words_of(raw)))
+        if held and size + len(ids) > SHARD_WORDS:
+            yield from ((len(h), *x) for h, x in zip(held, shard_hits(held, phrases)))
+            held, size = [], 0
+        held.append(ids)
+        size += len(ids)
+    yield from ((len(h), *x) for h, x in zip(held, shard_hits(held, phrases)))
+
+
+SPANS = "array<struct<first: long, last: long>>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
 
+def _packed(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"first": f, "last": e - 1} for f, e in spans]
 
-HITS = "doc_id long, n_words long, spans array<struct<first: long, last: long>>, items array<string>"
 
+def _unpacked(spans: list[dict] | None) -> list[tuple[int, int]]:
+    return [(s["first"], s["last"] + 1) for s in spans or []]
 
-def _finder(phrases: Phrases, first: bool, final: bool):
-    """A pass over the documents for one block: adds its spans and items to those of the passes before."""
+
+def _finder(phrases: Phrases):
+    """Rows (doc_id, text, spans, items): adds a pass's spans and items to those of the passes before, and the number of words."""
 
     def run(batches):
-        fields = [("doc_id", pa.int64())] + ([] if final else [("text", pa.string())]) + [("n_words", pa.int64())]
-        fields += [("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))]
-        for held, hits in _shards(batches, phrases):
-            rows, lists = [], {}
-            for (b, at, raw, words), (spans, items) in zip(held, hits):
-                if id(b) not in lists:
-                    lists[id(b)] = [b.column("doc_id").to_pylist(), None, None]
-                    if not first:
-                        lists[id(b)][1:] = b.column("spans").to_pylist(), b.column("items").to_pylist()
-                ids, old_spans, old_items = lists[id(b)]
-                if not first:
-                    spans = _merge(spans + [(s["first"], s["last"] + 1) for s in old_spans[at]])
-                    items = set(map(str, items)) | set(old_items[at])
-                row = {"doc_id": ids[at], "n_words": len(words), "spans": [{"first": f, "last": e - 1} for f, e in spans], "items": sorted(map(str, items))}
-                rows.append(row if final else row | {"text": raw.decode()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
+        for b in batches:
+            rows = []
+            old = zip(b.column(2).to_pylist(), b.column(3).to_pylist())
+            for (n, spans, items), (old_spans, old_items) in zip(_found(raw_texts(b.column(1)), phrases), old):
+                rows.append((n, _packed(_merge(spans + _unpacked(old_spans))), sorted(items | set(old_items or []))))
+            new = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), _SPANS, pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], ["doc_id", "text", "n_words", "spans", "items"])
 
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple]]:
-    """Benchmark items in blocks of at most BLOCK_WORDS words (or one item); streamed partition by partition."""
-    blocks, size = [[]], 0
-    for item_id, text in benchmark.select(item_col, text_col).toLocalIterator():
+def benchmark_passes(benchmark: DataFrame, window: int, words: int):
+    """(phrases, whether they are the last) of at most `words` words of benchmark, or of one item; streamed, so that the driver holds one pass."""
+    items, size, before = [], 0, None
+    for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
         n = len(words_of((text or "").encode()))
-        if blocks[-1] and size + n > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item_id, text))
+        if items and size + n > words:
+            if before:
+                yield before, False
+            before, items, size = Phrases(items, window), [], 0
+        items.append((item_id, text))
         size += n
-    return blocks
-
+    if before:
+        yield before, False
+    yield Phrases(items, window), True
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every document: merged spans of words to remove, first and last from 0, and the items found.
 
-    One pass over the documents for each block of the benchmark, no shuffle.
-    """
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
+    """(doc_id, n_words, spans, items) of every document: merged spans of words to remove, first and last from 0, and the items found; no shuffle."""
     ship(docs.sparkSession)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = benchmark_blocks(benchmark)
-    for k, items in enumerate(blocks):
-        final = k == len(blocks) - 1
-        schema = HITS if final else HITS.replace("n_words", "text string, n_words")
-        out = out.mapInArrow(_finder(Phrases(items, window), k == 0, final), schema)
-    return out
+    nothing = [F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items")]
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *nothing)
+    for phrases, last in benchmark_passes(benchmark, window, pass_words):
+        out = out.select("doc_id", "text", "spans", "items")
+        out = out.mapInArrow(_finder(phrases), f"doc_id long, text string, n_words long, spans {SPANS}, items array<string>")
+        if not last:
+            out = materialize(out, "leaks")
+    return out.select("doc_id", "n_words", "spans", "items")
 
 
 def leak_digest(leaks: DataFrame) -> DataFrame:
@@ -298,48 +323,48 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-MARK = "versemill_leak_spans"
+def _marker(phrases: Phrases, text_at: int):
+    """A pass that adds its spans to the last column."""
+
+    def run(batches):
+        for b in batches:
+            old = b.column(b.num_columns - 1).to_pylist()
+            spans = [_packed(_merge(s + _unpacked(o))) for (_, s, _), o in zip(_found(raw_texts(b.column(text_at)), phrases), old)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spans, _SPANS)], names=b.schema.names)
+
+    return run
 
 
-def _marker(phrases: Phrases, text_at: int, first: bool, cut: bool, length_at: int | None):
-    """A pass that adds a block's spans to the column MARK, or, the last one, cuts all spans out."""
+def _cutter(phrases: Phrases, text_at: int, length_at: int | None):
+    """The last pass: cuts its spans and those of the last column out, and leaves that column out."""
 
     def run(batches):
         for b in batches:
-            raws, was = raw_texts(b.column(text_at)), b.column(text_at).to_pylist()
-            pair = pa.RecordBatch.from_arrays([b.column(text_at)], ["text"])
-            hits = [list(spans) for _, own in _shards([pair], phrases) for spans, _ in own]
-            if not first:
-                hits = [_merge(h + [(s["first"], s["last"] + 1) for s in old]) for h, old in zip(hits, b.column(b.num_columns - 1).to_pylist())]
-            names = b.schema.names if first else b.schema.names[:-1]
-            arrays = [b.column(i) for i in range(len(names))]
-            if not cut:
-                spans = [[{"first": f, "last": e - 1} for f, e in h] for h in hits]
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans, kind)], names=[*names, MARK])
-                continue
-            new = [_cut(raw, h) if h else t for raw, h, t in zip(raws, hits, was)]
+            raws, old = raw_texts(b.column(text_at)), b.column(b.num_columns - 1).to_pylist()
+            hits = [_merge(s + _unpacked(o)) for (_, s, _), o in zip(_found(raws, phrases), old)]
+            new = [_cut(raw, h) if h else t for raw, h, t in zip(raws, hits, b.column(text_at).to_pylist())]
+            arrays = list(b.columns[:-1])
             arrays[text_at] = pa.array(new, b.schema.field(text_at).type)
             if length_at is not None:
-                old = b.column(length_at).to_pylist()
-                arrays[length_at] = pa.array([len(t) if h else n for t, h, n in zip(new, hits, old)], b.schema.field(length_at).type)
+                sizes = b.column(length_at).to_pylist()
+                arrays[length_at] = pa.array([len(t) if h else n for t, h, n in zip(new, hits, sizes)], b.schema.field(length_at).type)
             keep = [not h or bool(words_of(t.encode())) for t, h in zip(new, hits)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """Documents with every removal span cut out of `text` and `n_chars` kept right; one that has no word left goes.
 
-    All columns stay, untouched documents stay as they are. One pass over the documents for each block of the benchmark, no shuffle.
+    All columns stay, untouched documents stay as they are. No shuffle.
     """
     ship(docs.sparkSession)
     names = docs.columns
     text_at, length_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    blocks, out = benchmark_blocks(benchmark), docs
-    marked = docs.select("*", F.lit(None).cast("array<struct<first: long, last: long>>").alias(MARK)).schema
-    for k, items in enumerate(blocks):
-        last = k == len(blocks) - 1
-        out = out.mapInArrow(_marker(Phrases(items, window), text_at, k == 0, last, length_at), docs.schema if last else marked)
-    return out
+    (mark,) = unused_names(docs, "leak_spans")
+    out = docs.withColumn(mark, F.lit(None).cast(SPANS))
+    for phrases, last in benchmark_passes(benchmark, window, pass_words):
+        if last:
+            return out.mapInArrow(_cutter(phrases, text_at, length_at), docs.schema)
+        out = materialize(out.mapInArrow(_marker(phrases, text_at), out.schema), "leaks")
