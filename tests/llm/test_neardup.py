@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from versemill.llm import neardup
 
 
@@ -34,14 +36,53 @@ def make_rows():
     return rows + [(2000, None), (2001, ""), (2002, " \n\t"), (2003, rows[0][1])]
 
 
-def test_pairs_of_four_fifths_are_found(spark):
+@pytest.mark.parametrize("tile", [neardup.TILE, 200, 40])
+def test_pairs_of_four_fifths_are_found(spark, tile):
+    """Also where everything meets in tiles: groups of more shingles than a tile has."""
     rows = make_rows()
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, lang string").repartition(3)
-    kept = neardup.near_dedup(df)
+    kept = neardup.near_dedup(df, tile)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
 
 
+def test_a_large_group_and_a_passage_that_many_share(spark):
+    """Copies with one word changed, in chains too, and texts that share half of their words: tiles, pivots and blocks all have work."""
+    rng = random.Random(6)
+    vocab = [f"{a}{b}{c}{d}" for a in "kltmn" for b in "aeiou" for c in "rsd" for d in "aeiou"]
+    base, passage = ([rng.choice(vocab) for _ in range(n)] for n in (120, 60))
+    rows = []
+    for i in range(60):
+        own = list(base)
+        own[rng.randrange(120)] = f"new{i}"
+        rows.append((i, " ".join(own)))
+    for i in range(60):
+        base[rng.randrange(120)] = f"step{i}"
+        rows.append((100 + i, " ".join(base)))
+    for i in range(60):
+        rows.append((200 + i, " ".join(passage + [rng.choice(vocab) for _ in range(30)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_kept(rows)
+    for tile in (neardup.TILE, 2000, 300):
+        assert sorted(r.doc_id for r in neardup.near_dedup(df, tile).collect()) == want
+
+
+def test_rows_and_columns_stay(spark):
+    """Columns with the names that the search would like, equal ids with different texts, equal rows, null ids."""
+    rows = [(7, "one text of six words here", 1, "a"), (7, "quite another text that stays as well", 2, "b"), (None, "lonely text of nobody at all", 3, "c")]
+    rows += [(None, "lonely text of nobody at all", 3, "c"), (9, "one text of six words here", 4, "d"), (1, None, 5, "e"), (2, "", 6, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_key int, Near_Text string")
+    kept = neardup.near_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted((r.near_key, r.Near_Text) for r in kept.collect()) == [(1, "a"), (2, "b"), (3, "c"), (5, "e")]
+
+
+def test_long_texts(spark):
+    long = [f"w{i % 7919}x{i % 101}" for i in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-500])), (3, " ".join(long[30_000:]))]
+    assert sorted(r.doc_id for r in neardup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
+
+
 def test_a_near_copy_that_differs_in_many_bits_goes(spark):
     import corpus_pipeline
     from versemill.llm import simhash

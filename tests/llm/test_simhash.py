@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from versemill.llm import simhash as sh
 from versemill.llm.components import components
@@ -108,13 +109,18 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 102: 100}
 
 
-def test_near_dedup_keeps_one_of_each_group(spark):
-    rows = make_rows(5) + [(None, "lonely text of nobody here"), (None, "lonely text of nobody here")]
-    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, fp string")
-    kept = sh.near_dedup(df).collect()
-    want = {c for _, _, c in brute_components([r for r in rows if r[0] is not None])}
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(want)
-    assert sum(r.doc_id is None for r in kept) == 1 and sh.near_dedup(df).columns == df.columns
+def test_long_text_and_columns_of_the_same_names(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, 5, "x"), (2, long + " tail", 6, "y"), (3, "short", 7, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int, component_id string")
+    assert {r.doc_id: r.component_id for r in sh.near_groups(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_a_large_star_is_one_component(spark):
+    n = 200_000
+    edges = spark.range(1, n).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    got = components(edges).agg(F.count("*"), F.max("v")).first()
+    assert tuple(got) == (n - 1, 0)
 
 
 def test_empty(spark):

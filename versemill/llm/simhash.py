@@ -6,11 +6,12 @@ fingerprints are dealt by those bits; fingerprints that meet are compared. The n
 of fingerprints, so that the fingerprints which meet by chance stay few; any number gives the same links.
 
 Where many fingerprints meet, their links are not all written: a breadth-first search within the meeting gives links that hold
-it together, at most one for each fingerprint, and the components are those of all links. Meetings beyond CROWD
-fingerprints are dealt again by finer blocks.
+it together, at most one for each fingerprint, and the components are those of all links. A meeting beyond CROWD
+fingerprints is searched in tiles of so many (meetings.py), so no task holds a whole one.
 
 Defined results: null is the empty text; a text without words has fingerprint zero and links like any other; repeated rows
-share a fingerprint; a null id takes the smallest id of its component; an empty table gives an empty result.
+share a fingerprint; a null id takes the smallest id of its component; texts are read whole whatever their length; columns other than the id
+and the text are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from versemill.llm import meetings
 from versemill.llm.common import raw_texts, tokens_of
-from versemill.llm.components import components
 from versemill.session import materialize, ship
 
 SHINGLE, SEED, MOST = 4, 42, 4
 CROWD = 20_000
-FINE_BLOCKS = 12
 
 
 def fingerprint(raw: bytes) -> int:
@@ -103,21 +103,19 @@ def spanning_links(fps: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
     return out
 
 
-def _meetings(crowd: int | None):
-    """Rows (t, k, fp) in order of (t, k): links within each run of equal (t, k); runs beyond `crowd` come out as they are."""
+def _meetings(crowd: int):
+    """Rows (t, k, fp) in order of (t, k): links within each run of equal (t, k); runs beyond `crowd` come out as rows (fp, null, place)."""
 
     def run(batches):
         held_t, held_k, held = -1, 0, []  # the run that the last batch ended in, as arrays
         size, crowded = 0, False
 
-        def links(t: int, parts: list) -> list[tuple[int, int]]:
+        def links(parts: list) -> list[tuple]:
             fps = parts[0] if len(parts) == 1 else np.concatenate(parts)
-            return spanning_links(np.unique(fps)) if len(fps) > 1 else []
+            return [(u, v, None) for u, v in spanning_links(np.unique(fps))] if len(fps) > 1 else []
 
-        def batch(pairs: list, over: list):
-            u = [a for a, _ in pairs] + [x for o in over for x in o.tolist()]
-            v = [b for _, b in pairs] + [x for o in over for x in o.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        def batch(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["u", "v", "place"])
 
         for b in batches:
             t, k, fp = (b.column(i).to_numpy() for i in range(3))
@@ -125,7 +123,7 @@ def _meetings(crowd: int | None):
                 continue
             cut = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
             bounds = np.concatenate(([0], cut, [len(t)]))
-            pairs, over = [], []
+            out: list[tuple] = []
             many = np.diff(bounds) > 1
             many[0] = many[-1] = True  # the first may go on from the last batch, the last into the next one
             for j in np.flatnonzero(many).tolist():
@@ -136,64 +134,54 @@ def _meetings(crowd: int | None):
                     size += len(own)
                 else:
                     if held and not crowded:
-                        pairs += links(held_t, held)
+                        out += links(held)
                     held, size, crowded, held_t, held_k = [own], len(own), False, t[lo], k[lo]
-                if crowded or crowd is not None and size > crowd:
-                    over += held
+                if crowded or size > crowd:
+                    place = int(np.uint64(xxhash.xxh64_intdigest(b"%d %d" % (held_t, held_k))).view(np.int64))
+                    out += [(x, None, place) for part in held for x in part.tolist()]
                     held, crowded = [held[-1][:0]], True
                 elif j < len(bounds) - 2:
-                    pairs += links(held_t, held)
+                    out += links(held)
                     held = []
-            if pairs or over:
-                yield batch(pairs, over)
+            if out:
+                yield batch(out)
         if held and not crowded:
-            pairs = links(held_t, held)
-            if pairs:
-                yield batch(pairs, [])
+            yield batch(links(held))
 
     return run
 
 
-def _met(fps: DataFrame, blocks: int, crowd: int | None) -> DataFrame:
-    """Links among distinct fingerprints from one division into blocks; a crowded meeting's fingerprints come as (fp, fp)."""
+def _met(fps: DataFrame, blocks: int, crowd: int) -> DataFrame:
+    """Links among distinct fingerprints from one division into blocks; a crowded meeting's fingerprints come with its place."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks)])).alias("t", "k")
     dealt = fps.select(keys, "fp").repartition(n, "t", "k").sortWithinPartitions("t", "k")
-    return dealt.mapInArrow(_meetings(crowd), "u long, v long")
+    return dealt.mapInArrow(_meetings(crowd), "u long, v long, place long")
+
+
+def _find(fps: list[int], _: list[bytes]) -> list[tuple[int, int]]:
+    at = {x: i for i, x in enumerate(fps)}
+    return [(at[u], at[v]) for u, v in spanning_links(np.array(fps, dtype=np.int64))]
 
 
 def linked(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(u, v): links that join distinct fingerprints (fp) into the components of all links."""
     found = materialize(_met(fps, blocks_for(fps.count()), crowd), "simhash-links")
-    links = found.filter(F.col("u") != F.col("v"))
-    again = found.filter(F.col("u") == F.col("v")).select(F.col("u").alias("fp")).distinct()
-    if again.limit(1).count():
-        links = links.unionByName(_met(again, FINE_BLOCKS, None))
-    return links
+    links = found.filter(F.col("v").isNotNull()).select("u", "v")
+    members = found.filter(F.col("v").isNull()).select("place", F.col("u").alias("fp"), F.lit(1).alias("size"), F.lit(None).cast("binary").alias("body"))
+    if members.isEmpty():
+        return links
+    return links.unionByName(meetings.links(members, _find, crowd, "simhash-crowds"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     fps = materialize(fingerprints(docs, id_col), "simhash")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(linked(distinct.select("fp")), "simhash-components")
-    nodes = roots.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    nodes = nodes.unionByName(roots.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
+    nodes = meetings.roots(linked(distinct.select("fp")), "simhash-components")
     joined = materialize(nodes.join(distinct, "fp"), "simhash-nodes")
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     own = joined.join(least, "root").select("fp", "least")
     known = distinct.join(own, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return fps.join(known, "fp").select("doc_id", "fp", "component_id")
 
-
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """Documents without near-duplicates: of each component the one with the smallest id stays, with all its columns.
-
-    A null id counts as one beyond all others that its text decides; of rows with the same id one stays.
-    """
-    key = "versemill_near_key"
-    late = F.lit(2**62) + F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(2**61 - 1))
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), late))
-    groups = near_groups(keyed, key)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
