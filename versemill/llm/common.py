@@ -5,7 +5,10 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from versemill.session import materialize
 
 #: A-Z to a-z and every ASCII byte that is no letter or digit to a space; bytes from 0x80 on stay, so that
 #: `text.translate(WORD_BYTES).split()` gives the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text.
@@ -41,9 +44,19 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def crc_fold(doc_id: int | None, folds: int) -> int:
+def fold_of(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as the empty text."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def training_labels(labels: DataFrame, label_col: str, training: Column, bound: int, label: str) -> DataFrame:
+    """(doc_id, y) of labels 0 and 1 where `training` holds, at most `bound` rows chosen by a hash of their ids: small enough to broadcast."""
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
+    y = y.filter(F.col("doc_id").isNotNull() & training)
+    n = y.count()
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(2**30))
+    chosen = y if n <= bound else y.filter(h < F.lit(int(2**30 * 0.95 * bound / n)))
+    return materialize(chosen.limit(bound), label)  # the limit only guards the bound
 
 
 def unused_names(df: DataFrame, *stems: str) -> list[str]:

@@ -9,8 +9,8 @@ Lexicon and weights are learned from a sample of at most SAMPLE labelled trainin
 most TERMS terms.
 
 Defined results: null is the empty text and has no hits; rows without a label or with one other than 0 or 1 are not learned from;
-without toxic or without clean labels the fixed seed terms and weights stand; repeated rows count each; an empty table gives an
-empty result.
+without toxic or without clean labels the fixed seed terms and weights stand; repeated rows count each; texts are scored whole whatever their
+length; all columns of filtered documents stay, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm.common import raw_texts, texts, words_of
+from versemill.llm.common import fold_of, raw_texts, texts, training_labels, words_of
 from versemill.session import materialize, ship
 
 FOLDS, HELD_OUT = 3, 1
@@ -32,6 +32,8 @@ TERMS = 400
 THRESHOLD = 0.7
 STEMS = (4, 5, 6, 7)  # lengths of stems
 STEM_FORMS = 4  # different words that a stem needs
+SIGNS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)  # odd factors
+ALIKE = 0.8  # share of runs from which texts are near copies
 FUZZY_FROM = 5  # letters from which a term may have one edit
 WINDOW = 6
 # Abusive words that are in the lexicon whatever the labels say, and words that report speech.
@@ -204,16 +206,29 @@ def _term_counts(batches):
         yield pa.RecordBatch.from_arrays(cols, ["word", "toxic", "clean"])
 
 
+def _runs(raw: bytes) -> np.ndarray:
+    """Hashes of a text's runs of three words, or of all its words if it has fewer."""
+    w = words_of(raw)
+    runs = zip(w, w[1:], w[2:]) if len(w) > 2 else [w]
+    return np.array([xxhash.xxh64_intdigest(b" ".join(r)) for r in runs], dtype=np.uint64)
+
+
 def _signatures(batches):
-    """The least hash of a text's runs of three words: near copies have the same one, different texts hardly ever."""
+    """One hash of a text's least runs under each of the SIGNS: near copies mostly share it."""
     for b in batches:
-        out = []
-        for raw in raw_texts(b.column(0)):
-            w = words_of(raw)
-            runs = zip(w, w[1:], w[2:]) if len(w) > 2 else [w]
-            out.append(min(xxhash.xxh64_intdigest(b" ".join(r)) for r in runs))
-        signature = pa.array(np.array(out, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([signature, b.column(0), b.column(1)], ["signature", "text", "y"])
+        out = [xxhash.xxh64_intdigest((_runs(raw)[:, None] * SIGNS).min(axis=0).tobytes()) for raw in raw_texts(b.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(out, dtype=np.uint64).view(np.int64)), b.column(0), b.column(1)], ["signature", "text", "y"])
+
+
+def _single(alike: pa.Table) -> pa.Table:
+    """Texts of equal signature and label without those that share ALIKE or more of their runs with one that stays."""
+    kept, sets = [], []
+    for text in sorted(set(texts(alike.column("text")))):
+        own = set(_runs(text.encode()).tolist())
+        if not any(len(own & s) >= ALIKE * len(own | s) for s in sets):
+            kept.append(text)
+            sets.append(own)
+    return pa.table({"text": pa.array(kept, pa.string()), "y": pa.array([alike.column("y")[0].as_py()] * len(kept), pa.int32())})
 
 
 def choose_terms(sample: DataFrame) -> tuple[list[tuple[str, bool]], frozenset]:
@@ -221,10 +236,11 @@ def choose_terms(sample: DataFrame) -> tuple[list[tuple[str, bool]], frozenset]:
 
     A word or stem is a term if its share of toxic documents is far above its share of clean ones and so many have it that of all
     words less than one would get there by chance. That number grows with the logarithm of the vocabulary, not with the sample.
-    Near copies count once, as what one text happens to say is no evidence however often it is copied.
+    Near copies of one label count once, as what one text happens to say is no evidence however often it is copied; texts
+    that only share a passage count each.
     """
     signed = sample.select("text", "y").mapInArrow(_signatures, "signature long, text string, y int")
-    single = materialize(signed.groupBy("signature", "y").agg(F.min("text").alias("text")).select("text", "y"), "toxicity-single")
+    single = materialize(signed.groupBy("signature", "y").applyInArrow(_single, "text string, y int"), "toxicity-single")
     n = single.agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")).first()
     toxic, clean = n.toxic, n.clean
     counts = single.mapInArrow(_term_counts, "word string, toxic long, clean long")
@@ -285,18 +301,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def fold_of(doc_id: str, folds: int):
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
-
-
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int = SAMPLE) -> Model:
     """Model from at most `bound` labelled training rows; their ids are broadcast, so no text is shuffled."""
-    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
-    y = y.filter(F.col("doc_id").isNotNull() & (fold_of("doc_id", FOLDS) != HELD_OUT))
-    n = y.count()
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(2**30))
-    chosen = (y if n <= bound else y.filter(h < F.lit(int(2**30 * 0.95 * bound / n)))).limit(bound)  # the limit only guards the bound
-    ids = materialize(chosen, "toxicity-ids")
+    ids = training_labels(labels, label_col, fold_of("doc_id", FOLDS) != HELD_OUT, bound, "toxicity-ids")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = materialize(src.join(F.broadcast(ids), "doc_id").select("text", "y"), "toxicity-sample")
     counts = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
