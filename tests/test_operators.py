@@ -166,12 +166,11 @@ def test_whole_turns_pass_through_every_dialect(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_resolve_source():
-    raw = ["raw/por-x.xml", "raw/es.usfx", "raw/es-b.xml"]
-    assert D.resolve_source("por", "given.xml", None, raw) == "given.xml"
-    assert D.resolve_source("por", None, "old/es.usfx", raw) == "raw/es.usfx"
-    assert D.resolve_source("por", None, "gone.xml", raw) == "raw/por-x.xml"
-    assert D.resolve_source("es", None, None, raw) is None
+def test_resolve_sources(spark):
+    raw = ["raw/por-x.xml", "raw/es.usfx", "raw/es_b.xml"]
+    rows = [("por", "given.xml", None, raw), ("por", None, "old/es.usfx", raw), ("por", None, "gone.xml", raw), ("es", None, None, raw)]
+    out = D.resolve_sources(spark.createDataFrame(rows, "lang string, explicit string, reported string, files array<string>"))
+    assert [r.source for r in out.collect()] == ["given.xml", "raw/es.usfx", "raw/por-x.xml", None]
 
 
 def test_book_files(spark, tmp_path):

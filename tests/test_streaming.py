@@ -24,9 +24,12 @@ def test_notes_by_batches(spark, tmp_path):
     put = incremental.note_sink(str(tmp_path / "notes"))
     for i in (0, 1, 1):  # the last batch comes twice
         put(spark.createDataFrame(rows[2 * i : 2 * i + 2], "ref string, seq long, ts long, op string, body string"), i)
-    notes = spark.read.parquet(str(tmp_path / "notes" / "notes"))
-    assert {(r.ref, r.body) for r in notes.collect()} == {("a", "z"), ("b", "y")}
-    assert spark.read.parquet(str(tmp_path / "notes" / "trash")).count() == 1
+    at = str(tmp_path / "notes")
+    assert {(r.ref, r.body) for r in incremental.current_notes(spark, at).collect()} == {("a", "z"), ("b", "y")}
+    assert {(r.ref, r.body) for r in incremental.current_trash(spark, at).collect()} == {("a", "x")}
+    put(spark.createDataFrame([("b", 5, 14, "delete", None)], "ref string, seq long, ts long, op string, body string"), 2)
+    assert {(r.ref, r.body) for r in incremental.current_notes(spark, at).collect()} == {("a", "z")}
+    assert {(r.ref, r.body) for r in incremental.current_trash(spark, at).collect()} == {("a", "x"), ("b", "y")}
 
 
 def test_deck_as_keyed_state(spark, tmp_path):

@@ -97,6 +97,27 @@ def py_entities(text: str | None) -> str:
     return _ENTITY.sub(lambda m: html.unescape(m.group(0)), text or "")
 
 
+_MARKUP = re.compile(r"""<(/?)([A-Za-z][\w:.-]*)(?:"[^"]*"|'[^']*'|[^>"'])*?(/?)>|[^<]+""")
+
+
+def py_tag_text(text: str | None, gone: frozenset[str], kept: frozenset[str] = frozenset(["add"])) -> str:
+    """C-12: text of markup held in a string; elements in `gone` but not in `kept` go with their content.
+
+    Within such an element only the depth counts: a tag that opens adds one and any that closes takes one, whatever its name.
+    """
+    out, depth = [], 0
+    for m in _MARKUP.finditer(text or ""):
+        closes, name, alone = m.groups()
+        if name is None:
+            if not depth:
+                out.append(m.group())
+        elif closes:
+            depth = max(0, depth - 1)
+        elif not alone and (depth or name.lower() in gone and name.lower() not in kept):
+            depth += 1
+    return "".join(out)
+
+
 def py_ratio(a: str | None, b: str | None) -> float:
     """C-23: similarity of two strings by matching blocks."""
     return difflib.SequenceMatcher(None, a or "", b or "").ratio()
@@ -122,3 +143,9 @@ decomposed = _mapped(py_decomposed, T.BooleanType())
 accented_letters = _mapped(py_accented_letters, T.LongType())
 scrub = _mapped(py_scrub, T.StringType())
 entities = _mapped(py_entities, T.StringType())
+
+
+def tag_text(gone: list[str]):
+    """C-12 as a function of a column."""
+    names = frozenset(x.lower() for x in gone)
+    return _mapped(lambda t: py_tag_text(t, names), T.StringType())

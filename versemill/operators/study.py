@@ -8,6 +8,11 @@ from pyspark.sql.window import Window
 
 STATE = "struct<interval: double, ease: double, reps: int, state: int, due: bigint>"
 MINUTES10, DAY = 600, 86_400
+# Of the spaced repetition schedule.
+EASE, LEAST_EASE, MOST_EASE = 2.5, 1.3, 3.5
+LEARNING_MISS, REVIEW_MISS = 0.15, 0.2  # taken off the ease
+GAIN, LOSS, LOSS_GAP = 0.1, 0.08, 0.02  # ease after a hit: + GAIN - gap * (LOSS + gap * LOSS_GAP), the gap being 5 - q
+FIRST_DAYS, SECOND_DAYS, HARD = 1.0, 6.0, 1.2
 
 
 def _state(interval: Column, ease: Column, reps: Column, state: Column, due: Column) -> Column:
@@ -17,20 +22,20 @@ def _state(interval: Column, ease: Column, reps: Column, state: Column, due: Col
 
 
 def _bound(ease: Column) -> Column:
-    return F.greatest(F.lit(1.3), F.least(F.lit(3.5), ease))
+    return F.greatest(F.lit(LEAST_EASE), F.least(F.lit(MOST_EASE), ease))
 
 
 def grade(card: Column, q: Column, ts: Column) -> Column:
     """M-04: a card after one grade. A new card ignores the grade; a learning one leaves or stays; a known one is spaced out."""
     miss = q == 0
     gap = 5 - q
-    eased = _bound(card["ease"] + (F.lit(0.1) - gap * (F.lit(0.08) + gap * F.lit(0.02))))
-    spaced = F.when(card["reps"] == 0, F.lit(1.0)).when(card["reps"] == 1, F.lit(6.0)).when(q >= 4, card["interval"] * eased).otherwise(card["interval"] * F.lit(1.2))
+    eased = _bound(card["ease"] + (F.lit(GAIN) - gap * (F.lit(LOSS) + gap * F.lit(LOSS_GAP))))
+    spaced = F.when(card["reps"] == 0, F.lit(FIRST_DAYS)).when(card["reps"] == 1, F.lit(SECOND_DAYS)).when(q >= 4, card["interval"] * eased).otherwise(card["interval"] * F.lit(HARD))
     new = _state(F.lit(0.0), card["ease"], F.lit(0), F.lit(1), ts + MINUTES10)
-    learning = F.when(miss, _state(F.lit(0.0), _bound(card["ease"] - F.lit(0.15)), card["reps"], F.lit(1), ts + MINUTES10)).otherwise(
-        _state(F.lit(1.0), card["ease"], card["reps"] + 1, F.lit(2), ts + DAY)
+    learning = F.when(miss, _state(F.lit(0.0), _bound(card["ease"] - F.lit(LEARNING_MISS)), card["reps"], F.lit(1), ts + MINUTES10)).otherwise(
+        _state(F.lit(FIRST_DAYS), card["ease"], card["reps"] + 1, F.lit(2), ts + DAY)
     )
-    known = F.when(miss, _state(F.lit(0.0), _bound(card["ease"] - F.lit(0.2)), card["reps"], F.lit(1), ts + MINUTES10)).otherwise(
+    known = F.when(miss, _state(F.lit(0.0), _bound(card["ease"] - F.lit(REVIEW_MISS)), card["reps"], F.lit(1), ts + MINUTES10)).otherwise(
         _state(spaced, eased, card["reps"] + 1, F.lit(2), ts + F.floor(spaced * DAY))
     )
     return F.when(card["state"] == 0, new).when(card["state"] == 1, learning).otherwise(known)
@@ -42,7 +47,7 @@ def fold_cards(events: DataFrame, ref: str = "ref") -> DataFrame:
     Grades before the first add meet no card and do nothing. Events of one ref are one array: a card has as many as one reader makes.
     """
     history = F.array_sort(F.collect_list(F.struct("seq", "ts", "kind", "q")))
-    fresh = lambda e: _state(F.lit(0.0), F.lit(2.5), F.lit(0), F.lit(0), e["ts"] + MINUTES10)
+    fresh = lambda e: _state(F.lit(0.0), F.lit(EASE), F.lit(0), F.lit(0), e["ts"] + MINUTES10)
     step = lambda card, e: F.when(e["kind"] == "add", fresh(e)).when(card.isNotNull(), grade(card, e["q"], e["ts"])).otherwise(card)
     folded = events.groupBy(ref).agg(F.aggregate(history, F.lit(None).cast(STATE), step).alias("card"))
     return folded.filter(F.col("card").isNotNull()).select(ref, "card.*")

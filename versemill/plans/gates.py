@@ -13,7 +13,7 @@ def line_problems(line: Column, network: Column | None = None) -> Column:
     """C-29: kinds of online references in a line: url, host:<name> and, where `network` holds, api."""
     low = F.lower(line)
     kinds = [F.when(F.regexp_like(line, F.lit("(?i)https?://")), "url")]
-    kinds += [F.when(F.contains(low, F.lit(h)), F.lit(f"host:{h}")) for h in fixed.ONLINE_HOSTS]
+    kinds += [F.when(F.contains(low, F.lit(h.lower())), F.lit(f"host:{h}")) for h in fixed.ONLINE_HOSTS]
     api = F.regexp_like(line, F.lit(fixed.NETWORK_CALLS))
     kinds.append(F.when(api if network is None else api & network, "api"))
     return F.array_compact(F.array(*kinds))

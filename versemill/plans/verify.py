@@ -65,6 +65,21 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def placed(findings: DataFrame, *ties: str) -> DataFrame:
+    """W-06: findings with their place in a report, from 1: by severity (fail, warn, info), then check, then `ties`.
+
+    Rows are numbered within a check; where a check starts comes from counts, a row for each check.
+    """
+    rank = F.when(F.col("severity") == "fail", 0).when(F.col("severity") == "warn", 1).when(F.col("severity") == "info", 2).otherwise(3)
+    ranked = findings.withColumn("_rank", rank)
+    counts = ranked.groupBy("_rank", "check").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_rank", "check").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_rank", F.col("check").alias("_check"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_rank", "check").orderBy(*ties))
+    both = ranked.withColumn("_own", own).join(starts.withColumnRenamed("_rank", "_r"), (F.col("_rank") == F.col("_r")) & F.col("check").eqNullSafe(F.col("_check")))
+    return both.withColumn("place", F.col("_start") + F.col("_own")).drop("_rank", "_r", "_check", "_start", "_own")
+
+
 def verdicts(findings: DataFrame) -> DataFrame:
     """A-10: (edition, worst, exit): 0 clean, 2 warnings, 1 failures; a failure outranks a warning."""
     rank = F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from versemill.catalog import query
 from versemill.functions import unicode as U
 from versemill.operators import align
 from versemill.plans import convert
+from versemill.queries.repair import HALVES
 from versemill.sources import books as B
 from versemill.sources import dialects
 from versemill.session import table
@@ -48,13 +50,33 @@ def roundtrip_presence(spark, sf_dir):
     return classes.select("chapter", "v", F.when(kept, F.col("class")).otherwise("other").alias("class"))
 
 
-@query("roundtrip_classes")
+def _loose(x: str) -> str:
+    """Letters and digits alone, without case and accents, for the letters that the tables hold."""
+    return rf"regexp_replace(replace(lower(strip_accents({x})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+CLASSES = rf"""{PAIRS}, j AS (SELECT coalesce(b.chapter, s.chapter) AS chapter, coalesce(b.v, s.v) AS v, trim(regexp_replace(b, '\s+', ' ', 'g')) AS b, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM built b FULL JOIN source s ON b.chapter = s.chapter AND b.v = s.v),
+units AS (SELECT chapter AS doc_id, v AS i, b AS t FROM j WHERE b IS NOT NULL), {HALVES},
+q AS (SELECT j.*, kind, replace(b, ' ', '') AS bs, replace(s, ' ', '') AS ss, {_loose('b')} AS bk, {_loose('s')} AS sk, {_loose('left(b, length(b) // 2)')} AS hk FROM j LEFT JOIN kinds ON doc_id = chapter AND i = v),
+classes AS (SELECT chapter, v, CASE WHEN b IS NULL THEN 'absent' WHEN s IS NULL THEN 'extra' WHEN b = s THEN 'exact' WHEN s = '' THEN 'erased' WHEN b = s || s OR bs <> '' AND bs = ss || ss THEN 'doubled'
+    WHEN length(ss) > 0 AND length(bs) > length(ss) AND ends_with(bs, ss) AND starts_with(ss, left(bs, length(bs) - length(ss))) THEN 'prefix_repeat'
+    WHEN kind IN ('exact', 'half') AND (sk = hk OR sk = bk) THEN 'doubled' WHEN bs = ss THEN 'ws' WHEN bk = sk THEN 'punct' ELSE 'text' END AS class
+    FROM q WHERE s IS NOT NULL OR chapter IN (SELECT chapter FROM source))"""
+
+
+@query("roundtrip_classes", f"WITH {CLASSES} SELECT chapter, v, class FROM classes")
 def roundtrip_classes(spark, sf_dir):
-    """Loose keys are beyond SQL; tested against a plain reading of the rules."""
     return align.roundtrip(*talk_pair(spark, sf_dir)).select("chapter", "v", "class")
 
 
-@query("roundtrip_counts")
+_KINDS = ["exact", "ws", "punct", "doubled", "prefix_repeat", "text", "filled", "erased", "absent", "extra"]
+
+
+@query(
+    "roundtrip_counts",
+    f"""WITH {CLASSES} SELECT 'GEN' AS usfm, count(*) FILTER (class <> 'extra') AS source_verses, {', '.join(f"count(*) FILTER (class = '{c}') AS n_{c}" for c in _KINDS)},
+    round(count(*) FILTER (class = 'exact') / count(*) FILTER (class <> 'extra'), 5) AS accuracy FROM classes""",
+)
 def roundtrip_counts(spark, sf_dir):
     return align.roundtrip_counts(align.roundtrip(*talk_pair(spark, sf_dir)), ["usfm"])
 
@@ -65,8 +87,6 @@ def roundtrip_counts(spark, sf_dir):
     SELECT a.conv_id, a.v, min(t.v) AS owner FROM a JOIN t ON a.conv_id = t.conv_id AND t.v <> a.v AND t.norm <> '' AND contains(a.wanted, t.norm) GROUP BY a.conv_id, a.v""",
 )
 def containment_owner(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     t = table(spark, sf_dir, "conversations").groupBy("conv_id", F.col("turn").alias("v")).agg(F.lower(F.min("text")).alias("norm"))
     after = F.lead("norm").over(Window.partitionBy("conv_id").orderBy("v"))
     pairs = t.select("conv_id", "v", F.concat("norm", F.lit(" "), F.coalesce(after, F.lit(""))).alias("wanted"))
@@ -89,16 +109,20 @@ def realign_variants(spark, sf_dir):
 
 @query(
     "vocabulary_arbitration",
-    """WITH v AS (SELECT turn * 100000 + conv_id AS id, string_split(lower(min(text)), ' ')[1] AS l, string_split(lower(min(text)), ' ')[2] AS r FROM conversations GROUP BY conv_id, turn), w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents),
-    k AS (SELECT id, l, r, l IN (SELECT word FROM w) AS lk, r IN (SELECT word FROM w) AS rk FROM v WHERE r IS NOT NULL)
+    """WITH t AS (SELECT conv_id, turn, lower(min(text)) AS text FROM conversations GROUP BY conv_id, turn), v AS (SELECT turn * 100000 + conv_id AS id, text AS l, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM t),
+    w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents UNION SELECT unnest(string_split(text, ' ')) FROM t WHERE (conv_id + turn) % 3 <> 0),
+    k AS (SELECT id, bool_and(word IN (SELECT word FROM w)) FILTER (side = 'l') AS lk, bool_and(word IN (SELECT word FROM w)) FILTER (side = 'r') AS rk
+        FROM (SELECT id, 'l' AS side, unnest(string_split(l, ' ')) AS word FROM v WHERE r IS NOT NULL UNION ALL SELECT id, 'r', unnest(string_split(r, ' ')) FROM v WHERE r IS NOT NULL) GROUP BY id)
     SELECT id, CASE WHEN lk AND NOT rk THEN 'left' WHEN rk AND NOT lk THEN 'right' END AS favours FROM k""",
 )
 def vocabulary_arbitration(spark, sf_dir):
-    words = F.split(F.lower("text"), " ")
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    v = turns.select((F.col("turn") * 100000 + F.col("conv_id")).alias("id"), F.get(words, F.lit(0)).alias("left_words"), F.get(words, F.lit(1)).alias("right_words"))
-    vocabulary = table(spark, sf_dir, "documents").select(F.explode(words).alias("word"))
-    return align.arbitrate(v.filter(F.col("right_words").isNotNull()), vocabulary).select("id", "favours")
+    """A-15: whole turns as readings of many words, each against the next one; the third text is all documents and most turns."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.lower(F.min("text")).alias("text"))
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    v = turns.select((F.col("turn") * 100000 + F.col("conv_id")).alias("id"), F.col("text").alias("left_words"), after.alias("right_words"))
+    documents = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    most = turns.filter((F.col("conv_id") + F.col("turn")) % 3 != 0).select(F.explode(F.split("text", " ")).alias("word"))
+    return align.arbitrate(v.filter(F.col("right_words").isNotNull()), documents.unionByName(most)).select("id", "favours")
 
 
 @query(
@@ -139,13 +163,19 @@ def name_aliases(spark, sf_dir):
 
 @query(
     "edition_union",
-    "SELECT lang, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'bench', count(*) FROM benchmark",
+    """SELECT lang, n, true AS same FROM (SELECT 'documents' AS lang, count(*) AS n FROM documents UNION ALL SELECT 'bench', count(*) FROM benchmark
+    UNION ALL SELECT 'talks', count(*) FROM conversations)""",
 )
 def edition_union(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    parts = {x: docs.filter(F.col("lang") == x).select("text") for x in ("en", "de", "fr", "es")}
-    rows = B.edition_union(parts | {"bench": table(spark, sf_dir, "benchmark").select("text")})
-    return B.text_hash(rows, ["lang"]).select("lang", "n")
+    """K-06, U-04: tables as editions under one schema; the hash of each one's texts proves that all came through as they were."""
+    parts = {e: table(spark, sf_dir, t).select("text") for e, t in (("documents", "documents"), ("bench", "benchmark"), ("talks", "conversations"))}
+    after = B.text_hash(B.edition_union(parts), ["lang"])
+    before = None
+    for e, rows in parts.items():
+        own = B.text_hash(rows.withColumn("lang", F.lit(e)), ["lang"])
+        before = own if before is None else before.unionByName(own)
+    was = before.select("lang", F.col("n").alias("was_n"), F.col("hash").alias("was_hash"))
+    return after.join(was, "lang").select("lang", "n", ((F.col("n") == F.col("was_n")) & (F.col("hash") == F.col("was_hash"))).alias("same"))
 
 
 @query(
@@ -206,7 +236,7 @@ def convert_skipped(spark, sf_dir):
 
 
 #: What stands before, between and after the verses of a file, by dialect.
-_FRAME = {
+FRAMES = {
     "osis": ("<osis><osisText><div type='book' osisID='Gen'><chapter osisID='Gen.1'>", "", "</chapter></div></osisText></osis>"),
     "usfx": ("<usfx><book id='GEN'><c id='1'/>", "", "</book></usfx>"),
     "zefania": ("<XMLBIBLE><BIBLEBOOK bnumber='1'><CHAPTER cnumber='1'>", "", "</CHAPTER></BIBLEBOOK></XMLBIBLE>"),
@@ -216,36 +246,6 @@ _FRAME = {
 }
 
 
-@query("dialect_verses", "SELECT dialect, count(*) AS verses, sum(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))))::BIGINT AS chars FROM (SELECT min(left(regexp_replace(text, '[^A-Za-z \\n]', '', 'g'), 200)) AS text FROM conversations GROUP BY conv_id, turn), (SELECT unnest(['osis', 'usfx', 'zefania', 'usfm', 'sjson', 'uxlc']) AS dialect) GROUP BY dialect")
-def dialect_verses(spark, sf_dir):
-    """S-06..S-11: talks written in six dialects, sniffed and read back; every dialect gives the same verses.
-
-    As its SQL says, only the letters A-Z of a turn's first 200 characters are written; dialect_whole_verses writes whole turns.
-    """
-    text = F.substr(F.regexp_replace("text", "[^A-Za-z \n]", ""), F.lit(1), F.lit(200))
-    raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("t")).groupBy("conv_id", "turn").agg(F.min("t").alias("t"))
-    flat = F.trim(F.regexp_replace("t", r"\s+", " "))
-    v = (F.col("turn") + 1).cast("string")
-    verse = {
-        "osis": F.concat(F.lit("<verse osisID='Gen.1."), v, F.lit("'>"), flat, F.lit("<note>n</note></verse>")),
-        "usfx": F.concat(F.lit("<v id='"), v, F.lit("'/>"), flat, F.lit("<ve/>")),
-        "zefania": F.concat(F.lit("<VERS vnumber='"), v, F.lit("'>"), flat, F.lit("</VERS>")),
-        "usfm": F.concat(F.lit("\\v "), v, F.lit(" "), flat),
-        "sjson": F.concat(F.lit('{"verse":'), v, F.lit(',"text":"'), flat, F.lit('"}')),
-        "uxlc": F.concat(F.lit("<v n='"), v, F.lit("'>"), F.regexp_replace(F.concat(F.lit("<w>"), F.regexp_replace(flat, " ", "</w><w>"), F.lit("</w>")), "<w></w>", ""), F.lit("</v>")),
-    }
-    files = None
-    for d, expr in verse.items():
-        parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", expr.alias("x")))), lambda s: s["x"])
-        head, mark, tail = _FRAME[d]
-        own = raw.groupBy("conv_id").agg(F.concat(F.lit(head), F.array_join(parts, mark), F.lit(tail)).alias("value"))
-        own = own.select(F.concat(F.lit(d + "/"), F.col("conv_id").cast("string")).alias("file"), "value")
-        files = own if files is None else files.unionByName(own)
-    rows = dialects.parse_sources(files.withColumn("dialect", dialects.sniff(F.col("value"))))
-    rows = rows.filter(F.col("problem").isNull())
-    return rows.groupBy(F.substring_index("file", "/", 1).alias("dialect")).agg(F.count("*").alias("verses"), F.sum(F.length("text")).alias("chars"))
-
-
 _SPACES = "[\\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _NOT_XML = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
 
@@ -256,7 +256,7 @@ def _escaped(text, pairs):
     return text
 
 
-def _written(text, v):
+def written(text, v):
     """The verse in each dialect with that dialect's escapes."""
     xml = _escaped(text, [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")])
     flat = F.btrim(F.regexp_replace(text, _SPACES, " "))
@@ -272,12 +272,12 @@ def _written(text, v):
 
 
 @query(
-    "dialect_whole_verses",
+    "dialect_verses",
     rf"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(coalesce(min(text), ''), '{_NOT_XML}', ' ', 'g'), '{_SPACES}', ' ', 'g')) AS text FROM conversations GROUP BY conv_id, turn),
     k AS (SELECT conv_id, turn, regexp_replace(text, ' ([,.;:!?%»›])', '\1', 'g') AS text FROM t)
     SELECT dialect, conv_id, turn, length(text) AS chars, md5(text) AS digest FROM k, (SELECT unnest(['osis', 'usfx', 'zefania', 'usfm', 'sjson', 'uxlc']) AS dialect)""",
 )
-def dialect_whole_verses(spark, sf_dir):
+def dialect_verses(spark, sf_dir):
     return whole_verses(table(spark, sf_dir, "conversations"))
 
 
@@ -289,11 +289,11 @@ def whole_verses(conversations):
     """
     text = F.regexp_replace(F.coalesce(F.min("text"), F.lit("")), _NOT_XML, " ")
     turns = conversations.groupBy("conv_id", "turn").agg(text.alias("text"))
-    verses = F.struct("turn", *[x.alias(d) for d, x in _written(F.col("text"), (F.col("turn") + 1).cast("string")).items()])
+    verses = F.struct("turn", *[x.alias(d) for d, x in written(F.col("text"), (F.col("turn") + 1).cast("string")).items()])
     talks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(verses)).alias("s"))
     files = F.array(*[
         F.struct(F.lit(d).alias("name"), F.lit(head).alias("head"), F.concat(F.lit(head), F.array_join(F.col(f"s.{d}"), mark), F.lit(tail)).alias("value"))
-        for d, (head, mark, tail) in _FRAME.items()
+        for d, (head, mark, tail) in FRAMES.items()
     ])
     files = talks.select("conv_id", F.explode(files).alias("f"))
     files = files.select(F.concat_ws("/", "f.name", F.col("conv_id").cast("string")).alias("file"), "f.value", dialects.sniff(F.col("f.head")).alias("dialect"))
@@ -308,8 +308,6 @@ def whole_verses(conversations):
 @query("similarity_ledger")
 def similarity_ledger(spark, sf_dir):
     """Similarity of neighbouring turns by matching blocks, which SQL lacks."""
-    from pyspark.sql.window import Window
-
     t = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     after = t.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter(F.col("next").isNotNull())
     return after.select("conv_id", "turn", F.round(U.ratio("text", "next"), 4).alias("ratio"))

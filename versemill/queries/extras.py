@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versemill.catalog import query
+from versemill.functions import fixed
 from versemill.functions import text as T
 from versemill.functions import unicode as U
 from versemill.operators import align, render, routes
@@ -83,12 +84,6 @@ def ui_key_numbers(spark, sf_dir):
     return routes.key_numbers(ui, table(spark, sf_dir, "documents").select(F.col("source").alias("key")).distinct())
 
 
-@query("unknown_codes", "SELECT code FROM (SELECT unnest(['en', 'xx', 'de', 'zz']) AS code) WHERE code NOT IN (SELECT lang FROM documents)")
-def unknown_codes(spark, sf_dir):
-    wanted = spark.sql("SELECT explode(array('en', 'xx', 'de', 'zz')) AS code")
-    return wanted.join(table(spark, sf_dir, "documents").select(F.col("lang").alias("code")).distinct(), "code", "left_anti")
-
-
 @query("report_json", """SELECT lang, '{"lang":"' || lang || '","verses":' || count(*)::VARCHAR || '}' AS json FROM documents GROUP BY lang""")
 def report_json(spark, sf_dir):
     report = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("verses"))
@@ -104,18 +99,29 @@ def absent_per_book(spark, sf_dir):
     return verify.absent_per_book(align.roundtrip(rows.filter("v % 6 <> 0"), rows, ["edition"]))
 
 
-@query("anchor_words")
+_OPENINGS = [*fixed.OPENINGS.values(), ["the", "of", "in"], ["der", "die", "und"], ["que", "de", "la"], ["le", "et", "pour"]]
+_TOKENS = ", ".join("[" + ", ".join(f"'{w}'" for w in ws) + "]" for ws in _OPENINGS)
+
+
+@query(
+    "anchor_words",
+    rf"""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), ' ') || ' ' AS padded, [{_TOKENS}][(doc_id % {len(_OPENINGS) + 1})::INT + 1] AS tokens FROM documents WHERE text IS NOT NULL),
+    h AS (SELECT doc_id, CASE WHEN tokens IS NOT NULL THEN len(list_filter(tokens, lambda t: contains(padded, ' ' || t || ' '))) END AS hits FROM d)
+    SELECT doc_id, hits::INT AS hits, hits >= 2 AS ok FROM h""",
+)
 def anchor_words(spark, sf_dir):
-    """J-07 on documents as first chapters: accentless whole words are beyond SQL."""
-    docs = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("-"), "source").alias("usfm"), F.col("doc_id").alias("v"), "text")
-    first = docs.groupBy("usfm").agg(F.min_by("text", "v").alias("text")).withColumn("v", F.lit(1))
-    tokens = spark.sql("SELECT array('the', 'of', 'der', 'pour', 'que') AS tokens")
-    return align.anchors_found(first, first.select("usfm").crossJoin(F.broadcast(tokens)))  # one row of five words
+    """J-07: whole documents as first chapters, each against the openings of a book or common words of a language; some have none."""
+    rows = [(i, ws) for i, ws in enumerate(_OPENINGS)]
+    anchors = spark.createDataFrame(rows, "k int, tokens array<string>")
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    first = docs.select(F.col("doc_id").cast("string").alias("usfm"), F.lit(1).alias("v"), "text")
+    wanted = docs.select(F.col("doc_id").cast("string").alias("usfm"), (F.col("doc_id") % (len(rows) + 1)).alias("k")).join(F.broadcast(anchors), "k")
+    return align.anchors_found(first, wanted.select("usfm", "tokens")).select(F.col("usfm").cast("long").alias("doc_id"), "hits", "ok")
 
 
-@query("ascii_words")
+@query("ascii_words", "SELECT lang, sum(len(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')))::BIGINT AS words FROM documents GROUP BY lang")
 def ascii_words(spark, sf_dir):
-    """C-13 word counts by language: NFKD is beyond SQL."""
+    """C-13 word counts by language."""
     words = table(spark, sf_dir, "documents").select("lang", F.size(U.words("text")).alias("n"))
     return words.groupBy("lang").agg(F.sum("n").alias("words"))
 
@@ -149,28 +155,30 @@ def stream_notes(spark, sf_dir):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
     q = stream.writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(incremental.note_sink(at)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{at}/notes")
+    return incremental.current_notes(spark, at)
 
 
 @query("stream_deck", f"WITH RECURSIVE {CARDS} SELECT ref, round(interval, 6) AS interval, round(ease, 6) AS ease, reps, state, due FROM cards")
 def stream_deck(spark, sf_dir):
-    """ST-02: grade events as a stream, one card per reader in keyed state; the last state of each card stands."""
+    """ST-02: grade events as a stream, one card per reader in keyed state; the last state of each card stands.
+
+    Events come in two runs of the stream; within a batch the state orders a card's events. A session of its own holds the state
+    store's setting, so the caller's stays as it is.
+    """
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = grade_events(spark, sf_dir).select(F.col("ref").cast("string").alias("ref"), "seq", "ts", "kind", "q")
-    events.coalesce(1).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
+    ends = events.agg(F.min("seq").alias("first"), F.max("seq").alias("last")).first()
+    middle = ((ends["first"] or 0) + (ends["last"] or 0)) // 2
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def put(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{at}/out/run={batch_id}")
-
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        q = incremental.deck_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(put).trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        spark.conf.set(key, old)
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
+
+    for when in (F.col("seq") <= middle, F.col("seq") > middle):  # the second half meets the cards that the first has left in the state
+        events.filter(when).write.mode("append").parquet(f"{at}/in")
+        cards = incremental.deck_stream(own.readStream.schema(events.schema).parquet(f"{at}/in"))
+        cards.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     seen = spark.read.parquet(f"{at}/out")
     last = seen.groupBy("ref").agg(F.max_by(F.struct("interval", "ease", "reps", "state", "due"), "batch").alias("c"))
     return last.select(F.col("ref").cast("long").alias("ref"), F.round("c.interval", 6).alias("interval"), F.round("c.ease", 6).alias("ease"), "c.reps", "c.state", "c.due")

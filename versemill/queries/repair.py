@@ -21,16 +21,27 @@ def _sql_pass(x: str) -> str:
 
 _ENT, _TAG = "&(?:quot|apos|lt|gt|amp);", r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,60})?/?>"
 _COUNT = "len(regexp_extract_all({}, '{}'))"
-SANITIZED = f"""p0 AS (SELECT page_id, html AS t FROM pages), p1 AS (SELECT page_id, t AS t0, {_sql_pass('t')} AS t FROM p0), p2 AS (SELECT page_id, t0, t AS t1, {_sql_pass('t')} AS t FROM p1),
-p3 AS (SELECT page_id, t0, t1, t AS t2, {_sql_pass('t')} AS t FROM p2), p4 AS (SELECT page_id, t0, t1, t2, t AS t3, {_sql_pass('t')} AS t FROM p3),
-clean AS (SELECT page_id, {' + '.join(_COUNT.format(x, _ENT) for x in ('t0', 't1', 't2', 't3'))} AS entity_residue, {_COUNT.format('t', _TAG)} AS tag_residue, regexp_replace(t, '{_TAG}', '', 'g') AS b FROM p4),
-done AS (SELECT page_id, translate(b, '{{}}~', '') AS text, 0::BIGINT AS c1_mojibake, entity_residue, tag_residue, (length(b) - length(replace(b, chr(65533), ''))) AS replacement_char,
+_C1, _CP1252 = fixed.mojibake()
+#: Pages as they are but every third one, whose asterisks are C1 controls: each of them in turn by the page's number.
+_BROKEN = f"CASE WHEN page_id % 3 = 0 THEN replace(html, '*', chr(CASE WHEN page_id % 9 = 0 THEN 146 WHEN page_id % 9 = 3 THEN 128 ELSE 159 END)) ELSE html END"
+_REPAIRED = f"translate({_BROKEN}, '{_C1}', '{_CP1252}')"
+SANITIZED = f"""p0 AS (SELECT page_id, {_REPAIRED} AS t, (length({_BROKEN}) <> length(translate({_BROKEN}, '{_C1}', '')))::BIGINT AS c1 FROM pages), p1 AS (SELECT page_id, c1, t AS t0, {_sql_pass('t')} AS t FROM p0), p2 AS (SELECT page_id, c1, t0, t AS t1, {_sql_pass('t')} AS t FROM p1),
+p3 AS (SELECT page_id, c1, t0, t1, t AS t2, {_sql_pass('t')} AS t FROM p2), p4 AS (SELECT page_id, c1, t0, t1, t2, t AS t3, {_sql_pass('t')} AS t FROM p3),
+clean AS (SELECT page_id, c1, {' + '.join(_COUNT.format(x, _ENT) for x in ('t0', 't1', 't2', 't3'))} AS entity_residue, {_COUNT.format('t', _TAG)} AS tag_residue, regexp_replace(t, '{_TAG}', '', 'g') AS b FROM p4),
+done AS (SELECT page_id, translate(b, '{{}}~', '') AS text, c1::BIGINT AS c1_mojibake, entity_residue, tag_residue, (length(b) - length(replace(b, chr(65533), ''))) AS replacement_char,
     (length(b) - length(translate(b, '{{}}~', ''))) AS stray_delimiters FROM clean)"""
 
 
 @query("strip_tags_entities", f"WITH {SANITIZED} SELECT page_id, text, c1_mojibake, entity_residue, tag_residue, replacement_char::BIGINT AS replacement_char, stray_delimiters::BIGINT AS stray_delimiters FROM done")
 def strip_tags_entities(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.sanitize(F.col("html")).alias("s")).select("page_id", "s.*")
+    return broken_pages(spark, sf_dir).select("page_id", T.sanitize(F.col("html")).alias("s")).select("page_id", "s.*")
+
+
+def broken_pages(spark, sf_dir):
+    k = F.col("page_id") % 9
+    letter = F.when(k == 0, "\u0092").when(k == 3, "\u0080").otherwise("\u009f")
+    html = F.when(F.col("page_id") % 3 == 0, F.replace(F.col("html"), F.lit("*"), letter)).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
 
 
 @query(
@@ -39,7 +50,7 @@ def strip_tags_entities(spark, sf_dir):
     sum(replacement_char)::BIGINT AS replacement_char, sum(stray_delimiters)::BIGINT AS stray_delimiters FROM (SELECT d.* FROM done d)""",
 )
 def sanitize_counters(spark, sf_dir):
-    fixes = table(spark, sf_dir, "pages").select(T.sanitize(F.col("html")).alias("fixes"))
+    fixes = broken_pages(spark, sf_dir).select(T.sanitize(F.col("html")).alias("fixes"))
     return convert.repair_totals(fixes.withColumn("k", F.lit(1)), ["k"]).drop("k")
 
 
@@ -123,11 +134,16 @@ def encoding_probe(spark, sf_dir):
     )
 
 
-@query("decomposed_probe")
+_ACCENTED = "[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ]"
+
+
+@query("decomposed_probe", f"SELECT doc_id, doc_id % 2 = 0 AND contains(text, 'é') AND len(regexp_extract_all(text, '{_ACCENTED}')) >= 2 AS decomposed FROM documents WHERE text IS NOT NULL")
 def decomposed_probe(spark, sf_dir):
-    """Unicode forms are beyond SQL; rows with marks alone reach Python."""
-    docs = table(spark, sf_dir, "documents").filter(T.has(F.col("text"), r"\p{M}"))
-    return docs.select("doc_id", U.decomposed("text").alias("decomposed"))
+    """C-21: every second document has its é in two parts."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("é"), F.lit("é"))).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", text.alias("text"))
+    marked = T.has(F.col("text"), r"\p{M}")  # only rows with marks reach Python
+    return docs.select("doc_id", F.coalesce(U.decomposed(F.when(marked, F.col("text"))), F.lit(False)).alias("decomposed"))
 
 
 @query(
@@ -181,10 +197,12 @@ def top_words(spark, sf_dir):
     return verify.top_words(verify.word_counts(table(spark, sf_dir, "documents"), "lang"), "lang", 10, False)
 
 
-@query("accent_ratio")
+@query("accent_ratio", rf"SELECT lang, sum(len(regexp_extract_all(text, '{_ACCENTED}')))::BIGINT AS accented, sum(len(regexp_extract_all(text, '\p{{L}}')))::BIGINT AS letters FROM documents GROUP BY lang")
 def accent_ratio(spark, sf_dir):
-    """Accented letters need Unicode decomposition, which SQL lacks."""
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(U.accented_letters("text")).alias("accented"))
+    """Accented letters are those whose decomposition has a mark; only non-ASCII letters reach Python."""
+    rest = F.regexp_replace("text", r"[\x00-\x7F]+", "")
+    letters = F.regexp_count("text", F.lit(r"\p{L}")).cast("long")
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(U.accented_letters(rest)).alias("accented"), F.sum(letters).alias("letters"))
 
 
 @query(
@@ -227,7 +245,7 @@ def slug_gate(spark, sf_dir):
     return gates.slug_gate(supplier_books(spark, sf_dir), canon)
 
 
-_HOSTS = " UNION ALL ".join(f"SELECT page_id, lineno, 'host:{h}', line FROM lines WHERE contains(lower(line), '{h}')" for h in fixed.ONLINE_HOSTS)
+_HOSTS = " UNION ALL ".join(f"SELECT page_id, lineno, 'host:{h}', line FROM lines WHERE contains(lower(line), '{h.lower()}')" for h in fixed.ONLINE_HOSTS)
 
 
 @query(
@@ -243,10 +261,28 @@ def offline_gate(spark, sf_dir):
     return gates.offline_gate(lines.select("file", (F.col("i") + 1).alias("lineno"), "line"))
 
 
-@query("markup_scrub")
+_BARE = r"regexp_replace(regexp_replace(html, '(?s)<title>.*?</title>', ' ', 'g'), '</?(?:div|p)\b[^<>]*>', ' ', 'g')"
+
+
+@query("markup_scrub", "SELECT page_id, md5(replace(replace(replace(replace(replace(" + _BARE + ", '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&amp;', '&')) AS digest FROM pages")
 def markup_scrub(spark, sf_dir):
-    """Depth-aware markup removal is beyond SQL."""
-    return table(spark, sf_dir, "pages").select("page_id", F.length(U.entities(U.scrub("html"))).alias("chars"))
+    """C-10, C-11: titles go with their content, divisions and paragraphs without, named and numeric entities are decoded once."""
+    text = U.entities(U.scrub("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.cast("binary")).alias("digest"))
+
+
+_SPAN = r"regexp_replace({}, '(?s)<{}\b[^>]*>.*?</{}>', '', 'g')"
+_PLAIN = "replace(html, '<!', '!')"
+for _name in ("title", "nav", "footer"):
+    _PLAIN = _SPAN.format(_PLAIN, _name, _name)
+_PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '<(?:script|style)>[^<]*</[^>]*>', '', 'g'), '</?[A-Za-z][^>]*>', '', 'g')"
+
+
+@query("tag_text", f"SELECT page_id, md5({_PLAIN}) AS digest FROM pages")
+def tag_text(spark, sf_dir):
+    """C-12: the text of pages without some elements and their content, by depth of tags alone."""
+    text = U.tag_text(["title", "nav", "footer", "script", "style"])
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text("html").cast("binary")).alias("digest"))
 
 
 @query(

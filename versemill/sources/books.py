@@ -14,9 +14,9 @@ CATALOGUE = "array<struct<n: int, id: string, name: string, short: string, chapt
 
 
 def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """S-01: (file, doc) of whole-file JSON; doc is null where a file is empty or no such JSON."""
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    return raw.select("file", F.from_json("value", schema).alias("doc"))
+    """S-01: (file, path, doc) of whole-file JSON; doc is null where a file is empty or no such JSON."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.from_json("value", schema).alias("doc"))
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -27,11 +27,12 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def book_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S-03..S-05: verses (n, usfm, chapter, v, pos, text, segs) of book files named by number, and errors (file, problem).
+    """S-03..S-05: verses (n, usfm, chapter, v, pos, text, segs) of book files and errors (file, problem).
 
-    A file that can't be read, a chapter that is no number or a verse without one are errors; the rest is kept.
+    A file is named by its book's number, or lies in a folder n=<number> as write_books makes them. A file that can't be read, a chapter that is no number or a verse without one are errors; the rest is kept.
     """
-    files = json_files(spark, path, BOOK).withColumn("n", F.regexp_extract("file", r"(\d+)\.json$", 1).try_cast("int"))
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).try_cast("int")
+    files = json_files(spark, path, BOOK).withColumn("n", F.coalesce(number(r"(\d+)\.json$"), number(r"/n=(\d+)/[^/]*$")))
     ids = F.array(*[F.lit(x) for x in fixed.BOOK_IDS])
     files = files.withColumn("usfm", F.get(ids, F.col("n") - 1))
     chapters = files.filter(F.col("doc").isNotNull()).select("file", "n", "usfm", F.explode("doc").alias("ch", "rows"))
@@ -79,10 +80,10 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def literals(spark: SparkSession, path: str) -> DataFrame:
-    """S-15: (file, number, literal) of generated `case N: return s"..."` lines."""
+    """S-15: (file, path, number, literal) of generated `case N: return s"..."` lines."""
     pattern = r'^\s*case (\d+): return s"((?:[^"\\]|\\.)*)";?\s*$'
-    lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value").filter(F.regexp_like("value", F.lit(pattern)))
-    return lines.select("file", F.regexp_extract("value", pattern, 1).cast("int").alias("number"), F.regexp_extract("value", pattern, 2).alias("literal"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("path"), "value").filter(F.regexp_like("value", F.lit(pattern)))
+    return lines.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.regexp_extract("value", pattern, 1).cast("int").alias("number"), F.regexp_extract("value", pattern, 2).alias("literal"))
 
 
 def literal_modules(chapters: DataFrame, book: str = "n") -> DataFrame:

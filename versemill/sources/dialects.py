@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from versemill.functions import fixed, unicode
 from versemill.session import ship
 
-# Elements whose content is apparatus, by dialect, all in lower case.
-DROPPED = frozenset("note index target head title figure fig picture reference variant editor comment caption header work revisiondesc ide h ts categories mt toc rem id".split())
 VERSES = "usfm string, chapter int, v int, pos int, text string, problem string"
 _OSIS = {o.lower(): u for o, u in zip(fixed.OSIS_IDS, fixed.BOOK_IDS)} | {"psalms": "PSA"}
 
@@ -45,9 +43,12 @@ def _tidy(text: str) -> str:
 
 
 class _Reader:
-    """Events of one XML file to verses. A dialect says what starts a book, chapter or verse."""
+    """Events of one XML file to verses. A dialect says what starts a book, chapter or verse, and which elements go with their content."""
+
+    apparatus: frozenset[str] = fixed.DROPPED
 
     def __init__(self):
+        self.gone = {x.lower() for x in self.apparatus}
         self.rows: list[tuple] = []
         self.book = self.chapter = self.v = None
         self.text: list[str] = []
@@ -77,7 +78,7 @@ class _Reader:
     def start(self, tag: str, attrs: dict) -> None:
         name = tag.rpartition(":")[2].lower()
         a = {k.lower(): x for k, x in attrs.items()}
-        if self.drop or self.dropped(name, a):
+        if self.drop or name in self.gone:
             self.drop += 1
             return
         self.open(name, a)
@@ -88,9 +89,6 @@ class _Reader:
             return
         self.shut(tag.rpartition(":")[2].lower())
 
-    def dropped(self, name: str, a: dict) -> bool:
-        return name in DROPPED
-
     def open(self, name: str, a: dict) -> None: ...
 
     def shut(self, name: str) -> None: ...
@@ -104,6 +102,8 @@ def _number(x: str | None) -> int | None:
 class _Usfx(_Reader):
     """S-07: markers <c id/> and <v id/>; a verse ends at <ve/>, the next verse, chapter or book."""
 
+    apparatus = fixed.DROPPED | fixed.DROPPED_USFX
+
     def open(self, name, a):
         if name in ("book", "c", "v", "ve"):
             self.close()
@@ -123,6 +123,8 @@ class _Usfx(_Reader):
 class _Osis(_Reader):
     """S-08: verses by dotted reference, as containers or as start and end milestones."""
 
+    apparatus = fixed.DROPPED | fixed.DROPPED_OSIS
+
     def __init__(self):
         super().__init__()
         self.ids: list[str | None] = []
@@ -159,6 +161,8 @@ class _Osis(_Reader):
 class _Zefania(_Reader):
     """S-09: numbered books, chapters and verses."""
 
+    apparatus = fixed.DROPPED | fixed.DROPPED_ZEFANIA
+
     def open(self, name, a):
         if name == "biblebook":
             n = _number(a.get("bnumber"))
@@ -177,14 +181,13 @@ class _Zefania(_Reader):
 class _Uxlc(_Reader):
     """S-11: words as elements; of a written and read pair the read one stands; paragraph marks are counted, not given."""
 
+    apparatus = frozenset(["note", "header", "tei"])
+
     def __init__(self):
         super().__init__()
         self.word: str | None = None
         self.kinds: list[str] = []
 
-    def dropped(self, name, a):
-        return name in ("note", "header", "tei") and name != "x"
-
     def open(self, name, a):
         if name == "book":
             self.book = self.book or (a.get("n") or "").upper() or None
@@ -280,9 +283,20 @@ def read_sources(spark: SparkSession, path: str, dialect: str | None = None) ->
 
     One row per file goes to Python; a file is one edition, so files are the unit of work.
     """
+    return parse_sources(_files(spark, path, dialect))
+
+
+def _files(spark: SparkSession, path: str, dialect: str | None) -> DataFrame:
     ship(spark)
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return parse_sources(raw.withColumn("dialect", F.lit(dialect) if dialect else sniff(F.col("value"))))
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return raw.withColumn("dialect", F.lit(dialect) if dialect else sniff(F.col("value")))
+
+
+def read_donors(spark: SparkSession, path: str, dialect: str | None = None) -> DataFrame:
+    """S-17: verses of donor files of any dialect, (file, dialect, usfm, chapter, v, pos, text), for donor_fill; what can't be placed is left out."""
+    files = _files(spark, path, dialect)
+    rows = parse_sources(files).filter(F.col("problem").isNull()).drop("problem")
+    return rows.join(files.select("file", "dialect"), "file")
 
 
 def parse_sources(raw: DataFrame) -> DataFrame:
@@ -335,12 +349,10 @@ def harvest_chapters(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "usfm string, chapter int, v int, text string")
 
 
-def resolve_source(lang: str, explicit: str | None, reported: str | None, raw_files: list[str]) -> str | None:
-    """S-14: the source of an edition: the one named, else the one its report names if it is there, else the only raw file of its language."""
-    if explicit:
-        return explicit
-    by_name = {f.rpartition("/")[2]: f for f in raw_files}
-    if reported and reported.rpartition("/")[2] in by_name:
-        return by_name[reported.rpartition("/")[2]]
-    own = [f for name, f in by_name.items() if re.match(rf"{re.escape(lang)}[-_.]", name)]
-    return own[0] if len(own) == 1 else None
+def resolve_sources(editions: DataFrame) -> DataFrame:
+    """S-14: rows (lang, explicit, reported, files) with the `source` of each: the one named, else the one that its report names if it is there,
+    else the only raw file of its language."""
+    name = lambda f: F.substring_index(f, "/", -1)
+    told = F.get(F.filter("files", lambda f: name(f) == name(F.col("reported"))), F.lit(0))
+    own = F.filter("files", lambda f: F.startswith(name(f), F.col("lang")) & F.substr(name(f), F.length("lang") + 1, F.lit(1)).isin("-", "_", "."))
+    return editions.withColumn("source", F.coalesce("explicit", told, F.when(F.size(own) == 1, F.get(own, F.lit(0)))))

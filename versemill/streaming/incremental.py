@@ -33,20 +33,20 @@ CARD = "interval double, ease double, reps int, state int, due bigint"
 def py_grade(card: tuple | None, ts: int, kind: str, q: int | None) -> tuple | None:
     """M-03/M-04 for one event, as in study.grade."""
     if kind == "add":
-        return 0.0, 2.5, 0, 0, ts + 600
+        return 0.0, study.EASE, 0, 0, ts + study.MINUTES10
     if card is None or q is None:
         return card
     interval, ease, reps, state, _ = card
-    bound = lambda e: max(1.3, min(3.5, e))
+    bound = lambda e: max(study.LEAST_EASE, min(study.MOST_EASE, e))
     if state == 0:
-        return 0.0, ease, 0, 1, ts + 600
+        return 0.0, ease, 0, 1, ts + study.MINUTES10
     if q == 0:
-        return 0.0, bound(ease - (0.15 if state == 1 else 0.2)), reps, 1, ts + 600
+        return 0.0, bound(ease - (study.LEARNING_MISS if state == 1 else study.REVIEW_MISS)), reps, 1, ts + study.MINUTES10
     if state == 1:
-        return 1.0, ease, reps + 1, 2, ts + 86_400
-    ease = bound(ease + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)))
-    interval = 1.0 if reps == 0 else 6.0 if reps == 1 else interval * ease if q >= 4 else interval * 1.2
-    return interval, ease, reps + 1, 2, ts + int(interval * 86_400)
+        return study.FIRST_DAYS, ease, reps + 1, 2, ts + study.DAY
+    ease = bound(ease + (study.GAIN - (5 - q) * (study.LOSS + (5 - q) * study.LOSS_GAP)))
+    interval = study.FIRST_DAYS if reps == 0 else study.SECOND_DAYS if reps == 1 else interval * ease if q >= 4 else interval * study.HARD
+    return interval, ease, reps + 1, 2, ts + int(interval * study.DAY)
 
 
 class Deck(StatefulProcessor):
@@ -72,19 +72,50 @@ def deck_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("ref").transformWithStateInPandas(Deck(), outputStructType=f"ref string, {CARD}", outputMode="Update", timeMode="None")
 
 
-def note_sink(path: str):
-    """ST-03: a foreachBatch function that keeps the event log and a table of current notes, replaced as a whole after each batch."""
+BUCKETS = 64  # of refs; a batch reads and writes those that it has events of
+
+
+def note_sink(path: str, buckets: int = BUCKETS):
+    """ST-03: a foreachBatch function that keeps the event log and, by bucket of refs, the notes and the trash that each batch leaves.
+
+    The log is partitioned by bucket and batch; a batch reads the log of its own buckets alone and writes their state as one new
+    version, so readers never meet a half written one and a repeated batch replaces its own. current_notes reads the newest versions.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")  # a repeated batch replaces itself
-        log = spark.read.parquet(f"{path}/log").drop("batch")
-        study.notes(log).write.mode("overwrite").parquet(f"{path}/notes")
-        study.trash(log).write.mode("overwrite").parquet(f"{path}/trash")
+        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64("ref"), F.lit(buckets)).cast("int"))
+        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/log/batch={batch_id}")
+        mine = [r.bucket for r in bucketed.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not mine:
+            return
+        log = spark.read.parquet(f"{path}/log").filter(F.col("bucket").isin(mine) & (F.col("batch") <= batch_id)).drop("batch", "bucket")
+        alive = study.notes(log).withColumns({"trashed_at": F.lit(None).cast("long")})
+        gone = study.trash(log).withColumns({"verse": F.lit(None).cast("int"), "created": F.lit(None).cast("long"), "updated": F.lit(None).cast("long")})
+        state = alive.unionByName(gone).withColumn("bucket", F.pmod(F.xxhash64("ref"), F.lit(buckets)).cast("int"))
+        empty = spark.createDataFrame([(b,) for b in mine], "bucket int")  # a bucket may have lost all that it had
+        state = empty.join(state, "bucket", "left").select("ref", "body", "verse", "created", "updated", "trashed_at", "bucket")
+        state.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/current/batch={batch_id}")
 
     return put
 
 
+def _newest(spark: SparkSession, path: str) -> DataFrame:
+    state = spark.read.parquet(f"{path}/current")
+    last = state.groupBy("bucket").agg(F.max("batch").alias("batch"))  # a row for each bucket
+    return state.join(F.broadcast(last), ["bucket", "batch"]).filter(F.col("ref").isNotNull())
+
+
+def current_notes(spark: SparkSession, path: str) -> DataFrame:
+    """M-01 of the newest state that note_sink has written."""
+    return _newest(spark, path).filter(F.col("trashed_at").isNull()).select("ref", "body", "verse", "created", "updated")
+
+
+def current_trash(spark: SparkSession, path: str) -> DataFrame:
+    """M-02 of the newest state that note_sink has written."""
+    return _newest(spark, path).filter(F.col("trashed_at").isNotNull()).select("ref", "body", "trashed_at")
+
+
 def grade_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Grades by window of event time, late ones dropped: how many and how many were misses."""
     w = events.withWatermark("at", late).groupBy(F.window("at", width).alias("w"))
