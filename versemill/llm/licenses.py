@@ -4,10 +4,11 @@ Templates are word sequences under a label. The automaton accepts every run of w
 streamed through it once: at each word the state and the length of the longest run that ends there and occurs in a template (the
 matching statistic) are known. Templates of the kind `phrase` are reported at every place where the whole phrase
 ends, read from the state. Of the others, runs that can't be extended are chained in order of both text and
-template into spans; a span is reported if it covers enough of its template.
+template into spans; a span is reported if it covers enough of its template. Templates are the texts of licence_texts.py unless others are given,
+such as whole long licences from files (read_templates).
 
-Defined results: a null or empty text has no words, no labels and score 0; repeated rows each give a row; an empty table gives an
-empty result; columns other than the id and the text are not looked at.
+Defined results: a null or empty text has no words, no labels and score 0; repeated rows each give a row; texts are read whole whatever their
+length; an empty table gives an empty result; columns other than the id and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,29 +16,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versemill.llm.common import raw_texts, words_of
+from versemill.llm.licence_texts import TEXTS
 from versemill.session import ship
 
-# The base phrases and short public licence notices, by label.
+# The base phrases, by label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with "
-    "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "mit-notice": "Released under the MIT License",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-    "files (the Software), to deal in the Software without restriction",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
-    "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-    "conditions are met",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0",
-    "all-rights-reserved": "All rights reserved",
-}
+MOST_WORDS = 500_000  # of templates: what a scan sends to the executors
 LEAST_RUN = 2  # words of a run that takes part in a chain
 MOST_GAP = 6  # words between two runs of a chain, in the text or the template
 LEAST_COVER = 0.8  # of a template's words
@@ -102,7 +90,7 @@ class Scan:
 
 
 class Scanner:
-    def __init__(self, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES):
+    def __init__(self, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEXTS):
         self.items = [(label, words_of(text.encode()), True) for text, label in phrases.items()]
         self.items += [(label, words_of(text.encode()), False) for label, text in templates.items()]
         self.vocab: dict[bytes, int] = {}
@@ -186,8 +174,11 @@ SCHEMA = (
 )
 
 
-def _scan_batches(batches):
-    scanner = Scanner()
+def _scan_batches(templates: dict[str, str]):
+    return lambda batches: _scanned(batches, Scanner(templates=templates))
+
+
+def _scanned(batches, scanner: Scanner):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
         + [("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
@@ -216,10 +207,21 @@ def _scan_batches(batches):
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """Licence texts of the files below a path, by lower-case file name without extension."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    name = F.lower(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.(?:txt|md)$", ""))
+    return {r.label: r.value for r in rows.select(name.alias("label"), "value").collect()}
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per document: base phrase places, labels, score and template spans; one pass, no shuffle.
 
     score: the largest share of a template that a span covers, at least 0.5 where a base phrase stands, else 0.
     """
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan_batches, SCHEMA)
+    templates = TEXTS if templates is None else templates
+    if sum(len(words_of(t.encode())) for t in templates.values()) > MOST_WORDS:
+        raise ValueError(f"templates have more than {MOST_WORDS} words")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return src.mapInArrow(_scan_batches(templates), SCHEMA)
