@@ -3,11 +3,13 @@
 Every text becomes a short vector of statistics. Random Fourier features approximate a Gaussian kernel over the standardised
 vectors; the normal equations of ridge regression are sums over the labelled training rows, taken partition by partition and
 added up; isotonic regression on a part of the training rows that the ridge has not seen maps its scores to probabilities, from
-counts in fixed bins. What reaches the driver has the same size whatever the input, and every labelled training row counts.
+counts in fixed bins. What reaches the driver has the same size whatever the input. Scores learn from every labelled training row, filters from
+at most SAMPLE of them, chosen by a hash of their ids.
 
 Defined results: null is the empty text, whose statistics are all zero; rows without a label or with one other than 0 or 1 are
 not learned from; with no label of either kind every score is 0.5; repeated rows and repeated labels count each; ids that are
-null have no label; an empty table gives an empty result.
+null have no label; texts are read whole whatever their length; all columns of filtered documents stay, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm.common import raw_texts
+from versemill.llm.common import fold_of, raw_texts, training_labels
 from versemill.session import materialize, ship
 
 FOLDS = 5  # fold 0 is held out
 CALIBRATION_FOLD = 4  # training rows that only the calibration sees
+SAMPLE = 50_000  # labelled rows that a filter learns from, at most
 COMPONENTS = 128
 RIDGE = 1.0
 BINS = 400
@@ -207,28 +210,19 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
-def fold_of(doc_id: str, folds: int):
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
-
-
-def train(stats: DataFrame, labels: DataFrame, label_col: str, folds: int) -> Model:
-    """Model from (doc_id, stats) and the labels of training folds."""
-    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("y")).filter(F.col("y").isin(0, 1))
-    y = y.withColumn("fold", fold_of("doc_id", folds)).filter(F.col("fold") != 0)
-    return fit(materialize(stats.join(y, "doc_id").select("stats", "y", "fold"), "quality-train"))
-
-
 def document_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) of every document."""
     ship(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(src.mapInArrow(_stat_batches, "doc_id long, stats array<float>"), "quality-stats")
+    return src.mapInArrow(_stat_batches, "doc_id long, stats array<float>")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; learns from labelled rows outside fold 0."""
-    stats = document_statistics(docs)
-    model = train(stats, labels, label_col, folds)
+    """(doc_id, held_out, score, predicted) of every document; learns from all labelled rows outside fold 0."""
+    stats = materialize(document_statistics(docs), "quality-stats")
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("y")).filter(F.col("y").isin(0, 1))
+    y = y.withColumn("fold", fold_of("doc_id", folds)).filter(F.col("fold") != 0)
+    model = fit(materialize(stats.join(y, "doc_id").select("stats", "y", "fold"), "quality-train"))
 
     def run(batches):
         for b in batches:
@@ -240,9 +234,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     return scored.select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS) -> DataFrame:
-    """The documents that the model accepts, with all their columns: each row is judged where it is, so nothing is shuffled."""
-    model = train(document_statistics(docs), labels, label_col, folds)
+def filter_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS, bound: int = SAMPLE) -> DataFrame:
+    """The documents that the model accepts, with all their columns: each row is judged where it is, so nothing is shuffled.
+
+    Learns from at most `bound` labelled rows, whose ids are broadcast, so that only their texts are read for that.
+    """
+    ids = training_labels(labels, label_col, fold_of("doc_id", folds) != 0, bound, "quality-ids")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
+    stats = document_statistics(chosen).join(F.broadcast(ids), "doc_id").withColumn("fold", fold_of("doc_id", folds))
+    model = fit(materialize(stats.select("stats", "y", "fold"), "quality-train"))
     at = docs.columns.index("text")
 
     def run(batches):
