@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from versemill.llm import quality, toxicity
 from versemill.llm.quality import isotonic, score_quality, statistics
@@ -131,6 +133,77 @@ def test_quality_is_learned(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in out)
 
 
+def test_the_fit_against_plain_algebra(spark):
+    """Normal equations summed over partitions against a least squares of all rows, and calibration against counts by bin."""
+    rows, labels = quality_rows()
+    y = dict(labels)
+    train = [(statistics(t.encode()).astype(np.float32), y[d], zlib.crc32(str(d).encode()) % 5) for d, t in rows if zlib.crc32(str(d).encode()) % 5]
+    df = spark.createDataFrame([([float(v) for v in s], k, f) for s, k, f in train], "stats array<float>, y int, fold long").repartition(5)
+    model = quality.fit(df)
+    x = np.array([s for s, _, _ in train], dtype=np.float64)
+    assert np.allclose(model.fourier.mean, x.mean(axis=0), atol=1e-9) and np.allclose(model.fourier.std, x.std(axis=0) + 1e-3, atol=1e-7)
+    own = np.array([f != quality.CALIBRATION_FOLD for _, _, f in train])
+    z, target = model.fourier(x), np.array([k for _, k, _ in train], dtype=float)
+    reg = np.eye(z.shape[1]) * quality.RIDGE
+    reg[0, 0] = 1e-6
+    want = np.linalg.solve(z[own].T @ z[own] + reg, z[own].T @ target[own])
+    assert np.allclose(model.weights, want, rtol=1e-6, atol=1e-8)
+    bins = quality._bin(z[~own] @ want)
+    weight, positive = np.bincount(bins, minlength=quality.BINS), np.bincount(bins, weights=target[~own], minlength=quality.BINS)
+    assert np.allclose(model.rates, isotonic(weight.astype(float), positive))
+
+
+def test_features_approximate_the_kernel():
+    rng = np.random.RandomState(2)
+    x = rng.normal(size=(40, quality.N_STATS))
+    f = quality.Fourier(np.zeros(quality.N_STATS), np.ones(quality.N_STATS), components=20_000)
+    z = f(x)[:, 1:]
+    gap = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert np.abs(z @ z.T - np.exp(-gap * 1.5**2 / quality.N_STATS / 2)).max() < 0.05
+
+
+def test_logistic_against_its_gradient():
+    rng = np.random.RandomState(5)
+    x = np.concatenate((np.ones((200, 1)), rng.normal(size=(200, 3))), axis=1)
+    y = (rng.rand(200) < 1 / (1 + np.exp(-x @ [0.3, 1, -2, 0.5]))).astype(float)
+    w = toxicity.logistic(x, y, ridge=0.05)
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 0.05 * w).max() < 1e-6
+
+
+def test_texts_that_share_a_passage_are_all_evidence(spark):
+    line = "all of them quote this very same long and common line again"
+    rows = [(f"{line} {i} alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i} eta{i} theta{i} iota{i} kappa{i}", 1) for i in range(20)]
+    rows += [(" ".join(f"w{k}" for k in range(60)) + (" extra" if i else ""), 1) for i in range(9)]  # near copies
+    df = spark.createDataFrame(rows, "text string, y int")
+    signed = df.mapInArrow(toxicity._signatures, "signature long, text string, y int")
+    single = signed.groupBy("signature", "y").applyInArrow(toxicity._single, "text string, y int")
+    kept = [r.text for r in single.collect()]
+    assert sum(t.startswith("all of") for t in kept) == 20 and 1 <= sum(t.startswith("w0") for t in kept) <= 2
+    together = [toxicity._single(pa.table({"signature": [1] * len(rows), "text": [t for t, _ in rows], "y": pa.array([1] * len(rows), pa.int32())}))]
+    assert len(together[0]) == 21
+
+
+def test_long_texts_null_ids_and_columns_of_the_same_names(spark):
+    rows, labels = quality_rows()
+    docs = [(d, t, 1, 0.5, "k") for d, t in rows] + [(None, "an idiot you are " * 20_000, 2, 0.1, "k"), (None, None, 3, 0.2, "k"), (7, rows[7][1], 4, 0.3, "k")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, y int, score double, stats string")
+    lab = spark.createDataFrame([(d, k, 1 - k) for d, k in labels] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    for score, keep in ((score_quality, quality.filter_quality), (score_toxicity, toxicity.filter_toxicity)):
+        out = score(df, lab).collect()
+        assert len(out) == len(docs) and all(0 <= r.score <= 1 for r in out)
+        kept = keep(df, lab)
+        assert kept.columns == df.columns and 0 < kept.count() <= len(docs)
+
+
+def test_a_bounded_fit_of_the_filter(spark):
+    rows, labels = quality_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    y = dict(labels)
+    kept = {r.doc_id for r in quality.filter_quality(docs, lab, bound=300).collect()}
+    assert np.mean([(d in kept) == y[d] for d, _ in rows]) > 0.95
+
+
 def test_without_labels_and_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(1, "an idiot"), (2, "fine")], "doc_id long, text string")

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 from versemill.llm import fingerprint as fp
 
@@ -37,7 +39,8 @@ def test_likeness_is_bounded_and_orders_edits():
 
 
 def brute(rows):
-    rows = sorted(rows, key=lambda r: (-r[0], r[1] or ""))
+    signed = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).view(np.int64)
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), int(signed(r[1]))))
     out = []
     for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
         t, n = t or "", n or ""
@@ -45,16 +48,25 @@ def brute(rows):
         e = t[: len(t) - k] + n[:k]
         ft, fe, fn = map(fp.fingerprint, (t, e, n))
         out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), ft, fe, fp.likeness(ft, fe), fp.likeness(ft, fn)))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def test_query_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(i * 13 % 997, " ".join(rng.choice("ab cd éf gh".split()) for _ in range(rng.randrange(50)))) for i in range(120)]
     rows += [(2000, None), (2001, ""), (-4, "é" * 40_000)]
-    for extra in ([], [(13, rows[1][1])]):
-        df = spark.createDataFrame(rows + extra, "doc_id long, text string").repartition(5)
-        assert sorted(tuple(r) for r in fp.fingerprint_edits(df).collect()) == brute(rows + extra)
+    same = [(500, f"text {i} of one id") for i in range(60)] + [(None, f"nobody's text {i}") for i in range(60)] + [(None, "twice"), (None, "twice")]
+    for extra in ([], [(13, rows[1][1])], same):
+        df = spark.createDataFrame([(*r, "x", 1) for r in rows + extra], "doc_id long, text string, fingerprint string, part int").repartition(5)
+        assert sorted((tuple(r) for r in fp.fingerprint_edits(df).collect()), key=str) == brute(rows + extra)
+
+
+def test_equal_ids_are_spread(spark):
+    df = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    order = [F.desc("doc_id"), F.xxhash64("text").asc()]
+    sizes = df.repartitionByRange(4, *order).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 2000
+    assert fp.fingerprint_edits(df).count() == 4000
 
 
 def test_one_and_no_rows(spark):

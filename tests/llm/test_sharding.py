@@ -55,5 +55,15 @@ def test_write_and_empty(spark, tmp_path):
     write_shards(df.withColumnRenamed("shard", "lang"), str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(rows) and back.select("shard").distinct().count() == 4
+    write_shards(df, str(tmp_path / "cells"), 4, file_bytes=3000)  # the rows have a column `shard` of their own
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    assert sorted(str(r.row.doc_id) for r in cells.collect()) == sorted(str(r[0]) for r in rows)
+    assert len(list((tmp_path / "cells").glob("shard=0/*.parquet"))) > 1
     assert histogram_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert histogram_shards(spark.createDataFrame([(1, "a")], "doc_id long, text string")).count() == 1
+
+
+def test_long_texts(spark):
+    rows = [(1, "é" * 400_000), (2, "a"), (3, None)]
+    out = {r.doc_id: r for r in histogram_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].size == 800_008 and out[3].size == 8 and out[1].text_crc32 == zlib.crc32(("é" * 400_000).encode())

@@ -18,9 +18,11 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return r.n, r.x
+def _settled(edges: DataFrame) -> bool:
+    """Whether every component is a star around its smallest node: no node has two neighbours that are smaller, or one that has one itself."""
+    ends = edges.select(F.col("u").alias("v")).distinct()
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")
+    return edges.join(ends, "v", "left_semi").select("u").unionByName(twice.select("u")).isEmpty()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -30,11 +32,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     number of rounds grows with the logarithm of the longest chain.
     """
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
-    mark = _mark(now)
-    while mark[0]:
-        after = materialize(_stars(now), label)
-        new = _mark(after)
-        if new == mark:
-            break
-        now, mark = after, new
+    while not _settled(now):
+        now = materialize(_stars(now), label)
     return now

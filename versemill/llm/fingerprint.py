@@ -5,7 +5,8 @@ count is encoded in two bits by the quartile it falls into, and a header holds t
 ratios of the quartiles. Digests are compared with a difference score bounded by `MOST`, from which likeness is 1 - score / MOST.
 
 Defined results: null is the empty text; a text of under three bytes has no triplets, so all its buckets are 0; equal texts have
-equal digests; repeated rows each give a row; a single document is its own next one; an empty table gives an empty result.
+equal digests; repeated rows each give a row; a single document is its own next one; null ids come last in the order; texts are read whole
+whatever their length; columns other than the id and the text are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ def _seams(batches):
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and the likeness to both it and the next document's.
 
-    One range exchange puts the documents in descending order of doc_id (ties by text), so that all but one row of each
+    One range exchange puts the documents in descending order of doc_id (ties by a hash of the text), so that all but one row of each
     partition find the next document beside them. The last row of a partition meets the first one of the next partition
     that has rows in a join of one row for each partition.
     """
@@ -169,8 +170,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     ship(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # dealt by id alone, so that the driver samples ids and no texts; equal ids share a partition
-    ordered = src.repartitionByRange(n, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), F.asc("text"))
+    # dealt by id and hash, so that the driver samples no texts and documents of equal or null id are spread
+    order = [F.desc("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).asc()]
+    ordered = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
     found = materialize(ordered.mapInArrow(_pairs, f"part int, role int, text string, {FIELDS}"), "fingerprint-rows")
     heads = found.filter(F.col("role") == HEAD).select("part", F.col("text").alias("next_text"))
     parts = heads.select("part")

@@ -73,19 +73,20 @@ def _all(parts) -> F.Column:
 
 
 def links(members: DataFrame, find: Find, tile: int, label: str) -> DataFrame:
-    """Links (u, v) by `find` that hold together what links join, from members (place, fp, size, body) of meetings, which are read up to three times.
+    """Links (u, v) by `find` that hold together what links join, from members (place, fp, size, body) of meetings, which are read more than once.
 
     find(keys, bodies) gives links as places in its lists, enough to join all that link among them.
     """
     counts = members.groupBy("place").agg(F.sum("size").alias("weight"), F.count("*").alias("n")).filter("n > 1")
-    counts = materialize(counts.withColumn("tiles", F.ceil(F.col("weight") / tile)), f"{label}-places")
+    counts = counts.withColumn("tiles", F.ceil(F.col("weight") / tile))
     met = members.join(counts, "place")
     own = _part(1, F.col("tiles"))
     everywhere = (F.col("tiles") > 1) & (_part(2, F.col("n")) < PIVOTS)
     first = met.withColumn("tile", F.explode(F.when(everywhere, _all(F.col("tiles"))).otherwise(F.array(own)))).withColumn("block", F.lit(0).cast("long"))
-    found = materialize(_search(first, find), f"{label}-found")
+    found = _search(first, find)
     if counts.filter("tiles > 1").isEmpty():
         return found
+    found = materialize(found, f"{label}-found")
     large = met.filter("tiles > 1")
     named = roots(found.join(large.select("fp").distinct(), F.col("u") == F.col("fp"), "left_semi"), f"{label}-parts")
     parts = large.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -6,7 +6,8 @@ between two neighbouring candidates that holds its target, until a candidate mee
 equal texts only if the group itself is larger than `group_tolerance` of a shard. Then rows are exchanged once.
 
 Defined results: a null text has no bytes and hashes as the empty text; a null id sorts as id 0 of its text; repeated rows each
-get a slot of their own; an empty table gives an empty result; other columns are not looked at.
+get a slot of their own; texts are measured whole whatever their length; an empty table gives an empty result; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,11 +128,18 @@ def histogram_shards(docs: DataFrame, shards: int = 24, rows_per_cell: int = 200
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Move whole rows to their shards once and write one folder for each shard; clashing column names are kept."""
-    splitters = find_splitters(materialize(sort_keys(docs, id_col, text_col), "shard-keys"), shards)
+def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 256 << 20) -> None:
+    """Move whole rows to their shards once and write one folder for each shard, of files of about `file_bytes` of text; clashing
+    column names are kept.
+
+    Rows go by shard and a hashed cell of it, as many as its bytes need, so no task writes a whole shard.
+    """
+    keys = materialize(sort_keys(docs, id_col, text_col), "shard-keys")
+    splitters = find_splitters(keys, shards)
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cells = max(1, -(-total // (shards * file_bytes)))
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     g = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    shard = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), h.alias("h"), g.alias("g"))
-    shard = shard.select("row", shard_of(splitters).cast("int").alias("shard")).repartition(shards, "shard")
-    shard.write.partitionBy("shard").parquet(path)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), h.alias("h"), g.alias("g"))
+    rows = rows.select("row", shard_of(splitters).cast("int").alias("shard"), F.pmod("g", F.lit(cells)).alias("cell"))
+    rows.repartition(shards * cells, "shard", "cell").select("row", "shard").write.partitionBy("shard").parquet(path)
