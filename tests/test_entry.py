@@ -36,9 +36,10 @@ def test_equals_sql(spark, duck, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_those_without_sql_have_expected_results():
+    with open(os.path.join(os.path.dirname(__file__), "test_expected.py")) as f:
+        text = f.read()
+    assert all(f'QUERIES["{name}"]' in text for name in set(QUERIES) - set(ORACLES))
 
 
 def test_entry(spark):

@@ -8,12 +8,14 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: dict[str, bool] = {}
+_scopes: list[list[str]] = []  # of open `scratch` scopes, the tables to delete
 
 
 def local_session(cpus: str = "*", **conf: str) -> SparkSession:
@@ -66,13 +68,30 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Within `scratch` the table goes at its end unless it is kept; else it stays until the folder is cleaned.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope at whose end the tables that `materialize` wrote in it are deleted: results must be written or collected before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bench_cpus() -> str:
     return os.environ.get("BENCH_CPUS", "8")
