@@ -4,6 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from versemill.functions import fixed
+from versemill.functions import unicode as U
 from versemill.operators import align, navigate, refs, render, routes, search, study
 from versemill.plans import convert, gates
 from versemill.sources import books as B
@@ -264,3 +266,36 @@ def test_gates(spark):
     assert {tuple(r) for r in gates.slug_gate(books, canon).collect()} == {("x", "B b", "shape"), ("x", "B b", "position"), ("z", "Zz", "unknown")}
     assert gates.bad_flags(spark.createDataFrame([("v1.2.3",), ("1.0",), (None,)], "tag string")).count() == 2
     assert [r.code for r in gates.unknown_codes(spark, ["a", "b"], spark.createDataFrame([("a",)], "code string")).collect()] == ["b"]
+
+
+def test_anchor_check_has_english_openings_and_skips_others(spark):
+    rows = [("GEN", 1, "In the beginning it was created"), ("GEN", 2, "over the firmament"), ("ROM", 1, "Nothing of the kind"), ("XXX", 1, "a")]
+    first = spark.createDataFrame(rows, "usfm string, v int, text string")
+    got = {r.usfm: (r.hits, r.ok, r.skipped) for r in align.anchor_check(first, "en").collect()}
+    assert got == {"GEN": (3, True, None), "ROM": (0, False, None), "XXX": (None, None, "no anchors for this book")}
+    assert {(r.ok, r.skipped) for r in align.anchor_check(first, "swe").collect()} == {(None, "no anchors for swe")}
+    own = spark.createDataFrame([("ROM", ["kind", "nothing"])], "usfm string, tokens array<string>")
+    assert {r.usfm: r.ok for r in align.anchor_check(first, "swe", own).collect()}["ROM"] is True
+
+
+@pytest.mark.parametrize("dialect", ["usfx", "osis", "zefania"])
+def test_each_dialect_drops_its_own_apparatus(dialect):
+    """Every element of the dialect's sets goes with its content, those of other dialects keep theirs."""
+    own = {"usfx": fixed.DROPPED_USFX, "osis": fixed.DROPPED_OSIS, "zefania": fixed.DROPPED_ZEFANIA}
+    frame = {
+        "usfx": "<usfx><book id='GEN'><c id='1'/><v id='1'/>Um {} x<ve/></book></usfx>",
+        "osis": "<osis><osisText><div type='book' osisID='Gen'><chapter osisID='Gen.1'><verse osisID='Gen.1.1'>Um {} x</verse></chapter></div></osisText></osis>",
+        "zefania": "<XMLBIBLE><BIBLEBOOK bnumber='1'><CHAPTER cnumber='1'><VERS vnumber='1'>Um {} x</VERS></CHAPTER></BIBLEBOOK></XMLBIBLE>",
+    }
+    for name in sorted(fixed.DROPPED.union(*own.values())):
+        rows = D.parse(dialect, frame[dialect].format(f"<{name}>inner</{name}>"))
+        gone = name in fixed.DROPPED | own[dialect]
+        assert [r[3] for r in rows] == ["Um x" if gone else "Um inner x"], (dialect, name)
+
+
+def test_tag_text():
+    gone = frozenset(["note", "title"])
+    cases = [("a <note>b</note> c", "a  c"), ("<title>x <i>y</i> z</title>w", "w"), ("p <add>q</add>", "p q"), ("<note/>r", "r"), ("<note><lb/>s<b>t</b></note>u", "u")]
+    cases += [("a < b", "a  b"), (None, ""), ('<w a="x>y">v</w>', "v"), ("</note>k", "k"), ("<NOTE>m</note>n", "n")]
+    for text, want in cases:
+        assert U.py_tag_text(text, gone) == want, text

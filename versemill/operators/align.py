@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versemill.functions import fixed
 from versemill.functions import text as T
 from versemill.functions import unicode as U
 
@@ -185,6 +186,21 @@ def anchors_found(first_chapters: DataFrame, anchors: DataFrame, least: int = 2)
     return flat.select("usfm", F.when(F.col("tokens").isNotNull(), hits).alias("hits"), F.when(F.col("tokens").isNotNull(), hits >= least).alias("ok"))
 
 
+def anchor_check(first_chapters: DataFrame, lang: str, anchors: DataFrame | None = None) -> DataFrame:
+    """J-07 for an edition: anchors_found by the anchors given or, in English, by the openings of fixed values; `skipped` says why none were sought.
+
+    Openings in English say nothing about an edition in another language, so without anchors of its own that edition isn't checked.
+    """
+    own = anchors
+    if own is None and lang.lower() in fixed.ENGLISH_CODES:
+        own = first_chapters.sparkSession.createDataFrame(list(fixed.OPENINGS.items()), "usfm string, tokens array<string>")
+    if own is None:
+        reason = F.lit(f"no anchors for {lang}").alias("skipped")
+        return first_chapters.select("usfm").distinct().select("usfm", F.lit(None).cast("int").alias("hits"), F.lit(None).cast("boolean").alias("ok"), reason)
+    found = anchors_found(first_chapters, F.broadcast(own))  # a row for each book
+    return found.withColumn("skipped", F.when(F.col("hits").isNull(), "no anchors for this book"))
+
+
 def marker_counts(verses: DataFrame, by: str, markers: list[str], text: str = "text") -> DataFrame:
     """A-13: how often marker words stand in each edition."""
     count = lambda m: F.sum(F.regexp_count(F.lower(F.col(text)), F.lit(rf"(?U)\b{m}\b"))).cast("long").alias(m)
