@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from versemill.functions import fixed
 
-ENTITY = "&(?:quot|apos|lt|gt|amp);"
-TAG = r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,60})?/?>"
-ANY_ENTITY = "&(?:[a-zA-Z]{2,10}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
-ANY_TAG = r"</?[A-Za-z!?][A-Za-z0-9:_.-]*(?:\s[^<>]{0,80})?/?>"
+ENTITY, TAG, ANY_ENTITY, ANY_TAG = fixed.ENTITY, fixed.TAG, fixed.ANY_ENTITY, fixed.ANY_TAG
 C1, CP1252 = fixed.mojibake()
 
 

@@ -53,8 +53,8 @@ def py_accented_letters(text: str | None) -> int:
     return sum(1 for c in text or "" if c.isalpha() and any(map(unicodedata.combining, unicodedata.normalize("NFD", c))))
 
 
-_BLOCKS = "title note reference q foreign transchange variant".split()
-_ALONE = "div seg hi title note reference verse chapter milestone lb q p figure list listitem divinename foreign transchange variant".split()
+_BLOCKS = frozenset(x.lower() for x in fixed.SCRUB_BLOCKS)
+_ALONE = _BLOCKS.union(x.lower() for x in fixed.SCRUB_TAGS)
 _TOKEN = re.compile(r"<(/?)([A-Za-z]+)\b([^<>]*?)(/?)>")
 
 

@@ -160,7 +160,7 @@ def absent_per_book(classes: DataFrame) -> DataFrame:
 def text_rules() -> list[tuple]:
     """Rules that one verse alone can break: forbidden letters, markup, encoding."""
     text, entity, tag = F.col("text"), T.ANY_ENTITY, T.ANY_TAG
-    runs = T.has(text, r"([\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uAC00-\uD7A3])\1{2,}")
+    runs = T.has(text, fixed.CJK_RUN)
     return [
         ("forbidden_tokens", "fail", "verses with a delimiter or control letter", T.forbidden(text), ref()),
         ("markup_residue", "fail", "verses with an entity", T.has(text, entity), F.concat(ref(), F.lit(" "), F.regexp_extract("text", entity, 0))),

@@ -19,7 +19,7 @@ def _sql_pass(x: str) -> str:
     return x
 
 
-_ENT, _TAG = "&(?:quot|apos|lt|gt|amp);", r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,60})?/?>"
+_ENT, _TAG = fixed.ENTITY, fixed.TAG
 _COUNT = "len(regexp_extract_all({}, '{}'))"
 _C1, _CP1252 = fixed.mojibake()
 #: Pages as they are but every third one, whose asterisks are C1 controls: each of them in turn by the page's number.
@@ -109,10 +109,10 @@ def doubled_line_counts(spark, sf_dir):
 
 @query(
     "forbidden_probe",
-    r"""SELECT 'documents' AS src, count(*) FILTER (regexp_matches(text, '[{}~¶\\\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]')) AS forbidden, count(*) FILTER (regexp_matches(text, '&(?:[a-zA-Z]{2,10}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});')) AS entities,
-    count(*) FILTER (regexp_matches(text, '</?[A-Za-z!?][A-Za-z0-9:_.-]*(?:\s[^<>]{0,80})?/?>')) AS tags FROM documents
-    UNION ALL SELECT 'pages', count(*) FILTER (regexp_matches(html, '[{}~¶\\\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]')), count(*) FILTER (regexp_matches(html, '&(?:[a-zA-Z]{2,10}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});')),
-    count(*) FILTER (regexp_matches(html, '</?[A-Za-z!?][A-Za-z0-9:_.-]*(?:\s[^<>]{0,80})?/?>')) FROM pages""",
+    rf"""SELECT 'documents' AS src, count(*) FILTER (regexp_matches(text, '[{{}}~¶\\\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]')) AS forbidden, count(*) FILTER (regexp_matches(text, '{fixed.ANY_ENTITY}')) AS entities,
+    count(*) FILTER (regexp_matches(text, '{fixed.ANY_TAG}')) AS tags FROM documents
+    UNION ALL SELECT 'pages', count(*) FILTER (regexp_matches(html, '[{{}}~¶\\\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]')), count(*) FILTER (regexp_matches(html, '{fixed.ANY_ENTITY}')),
+    count(*) FILTER (regexp_matches(html, '{fixed.ANY_TAG}')) FROM pages""",
 )
 def forbidden_probe(spark, sf_dir):
     def probe(name, column):

@@ -314,14 +314,11 @@ def parse_sources(raw: DataFrame) -> DataFrame:
     return raw.mapInPandas(run, "file string, " + VERSES)
 
 
-NUMBERED = [r"(?m)^[ \t]{0,8}(\d{1,3})[ \t]*$", r"(?m)^[ \t]{0,8}(\d{1,3})[ \t]{1,4}(?=\S)", r"(?m)[ \t]{4,}(\d{1,3})[ \t]*$"]
-
-
 def harvest(chapter: str) -> list[tuple[int, str]]:
     """C-30: verses of a chapter's printed text: numbers on their own, at line starts or far right, taken in turn from 2; what
     stands before the 2 is verse 1."""
     places: dict[int, int] = {}
-    for pattern in NUMBERED:
+    for pattern in fixed.NUMBERED:
         for m in re.finditer(pattern, chapter):
             places.setdefault(int(m.group(1)), m.start(1))
     last = 1
