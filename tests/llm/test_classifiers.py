@@ -228,3 +228,9 @@ def test_isotonic_against_brute_force():
 def test_statistics_of_edge_texts():
     assert not statistics(b"").any() and not statistics(b" \n ").any()
     assert np.isfinite(statistics("é".encode())).all() and np.isfinite(statistics(b"a\n")).all()
+
+
+def test_a_seed_that_clean_texts_use_is_no_term(spark):
+    rows = [(f"the trash goes out on day {i} as always", 0) for i in range(40)] + [(f"you grobnik of number {i}", 1) for i in range(40)]
+    terms, _ = toxicity.choose_terms(spark.createDataFrame(rows, "text string, y int"))
+    assert ("trash", False) not in terms and ("idiot", False) in terms and any("grobnik".startswith(t) for t, _ in terms)

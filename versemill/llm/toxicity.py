@@ -36,9 +36,12 @@ SIGNS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], d
 ALIKE = 0.8  # share of runs from which texts are near copies
 FUZZY_FROM = 5  # letters from which a term may have one edit
 WINDOW = 6
-# Abusive words that are in the lexicon whatever the labels say, and words that report speech.
+# Abusive words that are in the lexicon unless the labels refute them, and words that report speech.
 SEEDS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
-CUES = frozenset("say says said saying quote quoted quotes quoting called term word words phrase wrote writes written insult insults slur".split())
+CUES = frozenset([
+    "say", "says", "said", "saying", "quote", "quoted", "quotes", "quoting", "called", "term", "word", "words", "phrase", "wrote", "writes",
+    "written", "insult", "insults", "slur",
+])
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 QUOTES = "\"“”„«»‘’'"
 SPACES = re.compile(r"\s")
@@ -70,7 +73,7 @@ class Trie:
 class Matcher:
     """Deterministic automaton of the trie's terms with edits; its states are sets of (trie node, edits), found as needed."""
 
-    MEMO, STATES = 400_000, 100_000
+    MEMO, STATES = 200_000, 50_000
 
     def __init__(self, terms: list[tuple[str, bool]]):
         self.trie = Trie(terms)
@@ -235,7 +238,8 @@ def choose_terms(sample: DataFrame) -> tuple[list[tuple[str, bool]], frozenset]:
     """Lexicon from labelled rows (text, y), and the harmless words of clean rows that meet a term by an edit or by a stem.
 
     A word or stem is a term if its share of toxic documents is far above its share of clean ones and so many have it that of all
-    words less than one would get there by chance. That number grows with the logarithm of the vocabulary, not with the sample.
+    words less than one would get there by chance. That number grows with the logarithm of the vocabulary, not with the sample. The fixed
+    seeds are terms unless the sample shows them in clean documents too.
     Near copies of one label count once, as what one text happens to say is no evidence however often it is copied; texts
     that only share a passage count each.
     """
@@ -259,7 +263,9 @@ def choose_terms(sample: DataFrame) -> tuple[list[tuple[str, bool]], frozenset]:
     for r in sorted(top_stems, key=lambda r: len(r.word)):
         if not any(r.word.startswith(s) for s in chosen):
             chosen.append(r.word)
-    terms = [(w, False) for w in SEEDS] + [(s, True) for s in chosen]
+    share = lambda r: (r.clean + 0.5) / clean * 20 < (r.toxic + 0.5) / toxic
+    refuted = {r.word for r in words.filter(F.col("word").isin(SEEDS)).collect() if not share(r)}
+    terms = [(w, False) for w in SEEDS if w not in refuted] + [(s, True) for s in chosen]
     for r in top_words:
         if len(terms) < TERMS and r.word not in SEEDS and not any(r.word.startswith(s) for s in chosen):
             terms.append((r.word, False))
