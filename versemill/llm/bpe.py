@@ -15,7 +15,7 @@ from array import array
 
 # Fixed value: the string of the vocabulary's added token, and its id.
 ADDED, ADDED_ID = "<|endoftext|>", 50256
-MEMO = 500_000  # pieces that one Python worker remembers before it starts anew
+MEMO = 300_000  # pieces that one Python worker remembers before it starts anew
 # White space other than plain spaces and line ends; the three-byte starts hold more than that, so they are only suspects.
 _ODD_BYTES = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_STARTS = [b"\xc2\xa0", b"\xc2\x85", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
