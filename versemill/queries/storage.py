@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from versemill.catalog import query
+from versemill.functions import fixed
 from versemill.plans import gates, verify
 from versemill.queries.repair import HALVES
 from versemill.session import shared_dir, table
@@ -51,6 +52,18 @@ def book_errors(spark, sf_dir):
     return errors.groupBy("problem").agg(F.count("*").alias("count")).unionByName(verses.agg(F.lit("verses").alias("problem"), F.count("*").alias("count")))
 
 
+@query(
+    "catalogue_files",
+    f"""WITH ids AS (SELECT [{', '.join(f"'{x}'" for x in fixed.BOOK_IDS)}] AS ids) SELECT n_nationkey::INT + 1 AS n, ids[n_nationkey + 1] AS usfm, n_name AS name, n_regionkey::INT AS chapters FROM nation, ids""",
+)
+def catalogue_files(spark, sf_dir):
+    """S-02: a catalogue written as one JSON document and read back with canonical ids."""
+    at, k = _folder(spark, "catalogue"), F.col("n_nationkey").cast("int")
+    rows = F.struct((k + 1).alias("n"), F.lower("n_name").alias("id"), F.col("n_name").alias("name"), F.lit("Bk").alias("short"), F.col("n_regionkey").cast("int").alias("chapters"), F.lit(9).alias("verses"))
+    table(spark, sf_dir, "nation").agg(F.to_json(F.array_sort(F.collect_list(rows))).alias("value")).write.text(at)  # a catalogue of books
+    return B.catalogue(spark, at).select("n", "usfm", "name", "chapters")
+
+
 @query("ledger_files", r"SELECT doc_id, lang, source, n_chars FROM documents")
 def ledger_files(spark, sf_dir):
     """K-05: rows written as a tab-separated ledger and read back."""
