@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from versemill.llm.bpe import ADDED, ADDED_ID, encoder, vocabulary
+from versemill.llm.bpe import ADDED, ADDED_ID, chunks, encoder, vocabulary
 from versemill.llm.packing import Schedule, pack, queue_totals
 from versemill.llm.tokencount import TokenTree, sample_edits, token_counts
 
@@ -31,6 +31,16 @@ def test_ids_equal_the_public_tokenizer(plain):
         assert np.frombuffer(enc.ids(text), dtype="<u2").tolist() == plain(text), repr(text)
 
 
+def test_chunks_are_encoded_by_themselves(plain):
+    rng, enc = random.Random(12), encoder()
+    for _ in range(300):
+        text = random_text(rng, 400)
+        parts = chunks(text)
+        assert "".join(parts) == text
+        assert sum((enc.plain(x) for x in parts), []) == plain(text), repr(text)
+    assert len(chunks("word " * 100)) > 6 and chunks("") == [] and chunks("x" * 500) == ["x" * 500]
+
+
 def test_the_added_token(plain):
     enc = encoder()
     for text in (ADDED, f"a {ADDED} b", f"{ADDED}{ADDED}", f"  {ADDED}  ", f"!!{ADDED}!!", f"x\n\n{ADDED}\n", ADDED[:-1], ADDED[1:], f"<|{ADDED}|>"):

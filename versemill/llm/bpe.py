@@ -1,10 +1,9 @@
-"""Byte-level BPE ids with a bounded memo of space-led pieces.
-
-A space between two characters that aren't white space always starts a pre-token, and what follows it is split and encoded
-independently of what stands before. So texts are cut at such spaces, and the ids of each piece are remembered. Texts with white space
-beside a space are encoded whole where that cut would not be exact.
+"""Byte-level BPE ids from a public tokenizer's rank file.
 
 The vocabulary's added token stands for its string wherever that stands in a text; what lies between is encoded by itself.
+
+A space between two characters that aren't white space always starts a pre-token, and what follows it is split and encoded independently of what
+stands before, so texts may be cut there (`chunks`).
 """
 
 from __future__ import annotations
@@ -13,25 +12,13 @@ import base64
 import re
 from array import array
 
-# Fixed value: the string of the vocabulary's added token, and its id.
+# The string of the vocabulary's added token, and its id.
 ADDED, ADDED_ID = "<|endoftext|>", 50256
-MEMO = 300_000  # pieces that one Python worker remembers before it starts anew
-# White space other than plain spaces and line ends; the three-byte starts hold more than that, so they are only suspects.
-_ODD_BYTES = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_ODD_STARTS = [b"\xc2\xa0", b"\xc2\x85", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
-_UNSAFE = re.compile(r"\s \S|\s\s$| \s|^\s")
+# White space here is at least what the vocabulary's pattern takes for it, so that every cut is one for the pattern too.
+_CHUNK = re.compile(r".{64,}?\S(?= \S)", re.S)
 _encoders: dict[str | None, "Encoder"] = {}
 
 
-def _unsafe(text: str) -> bool:
-    """Whether some space of the text may not start a pre-token."""
-    raw = text.encode()
-    if b"  " in raw or b" \n" in raw or b"\n " in raw or raw[:1] in (b" ", b"\n") or raw[-1:] == b" ":
-        return True
-    plain = len(raw.translate(None, _ODD_BYTES)) == len(raw) and (raw.isascii() or not any(x in raw for x in _ODD_STARTS))
-    return not plain and _UNSAFE.search(text) is not None
-
-
 def vocabulary(name: str = "byte_bpe_50k") -> str:
     """Path of a public tokenizer's rank file on this machine."""
     import public_tokenizers
@@ -39,19 +26,11 @@ def vocabulary(name: str = "byte_bpe_50k") -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
-class _Memo(dict):
-    """Ids by piece, each with the space before it, as unsigned 16-bit numbers; letters alone are one pre-token."""
-
-    def __init__(self, core):
-        super().__init__()
-        self.core = core
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.core.encode_single_piece(f" {piece}".encode()) if piece.isalpha() else self.core.encode_ordinary(" " + piece)
-        out = array("H", ids).tobytes()
-        if len(piece) < 64:
-            self[piece] = out
-        return out
+def chunks(text: str) -> list[str]:
+    """A text in chunks of 65 characters or more that are encoded independently of each other."""
+    out = _CHUNK.findall(text)
+    rest = text[sum(map(len, out)) :]
+    return [*out, rest] if rest else out
 
 
 class Encoder:
@@ -68,11 +47,11 @@ class Encoder:
         with open(path or vocabulary(), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._ordinary, self.memo = encoding.encode_ordinary, _Memo(encoding._core_bpe)
+        self._ordinary = encoding.encode_ordinary
         self._pre_tokens = regex.compile(public_tokenizers.PATTERN).findall
 
     def plain(self, text: str) -> list[int]:
-        """Ids of a text, without the memo."""
+        """Ids of a text."""
         if ADDED not in text:
             return self._ordinary(text)
         first, *rest = text.split(ADDED)
@@ -91,21 +70,9 @@ class Encoder:
             out += self._pre_tokens(part)
         return out
 
-    def pieces(self, text: str) -> list[bytes] | None:
-        """Ids of the text's pieces, or None where the text can't be cut at its spaces."""
-        if not text or _unsafe(text) or ADDED in text:
-            return None
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        parts = text.split(" ")
-        out = list(map(self.memo.__getitem__, parts))
-        out[0] = array("H", self.plain(parts[0])).tobytes()
-        return out
-
     def ids(self, text: str) -> bytes:
         """Ids of a text as unsigned 16-bit numbers."""
-        found = self.pieces(text)
-        return array("H", self.plain(text)).tobytes() if found is None else b"".join(found)
+        return array("H", self.plain(text)).tobytes()
 
 
 def encoder(path: str | None = None) -> Encoder:

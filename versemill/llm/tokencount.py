@@ -1,9 +1,9 @@
 """Edit-aware token counts: a segment tree of pre-tokens per document.
 
-A document's leaves are runs of whole pre-tokens with their lengths and token counts; SLOT leaves make a slot, and a binary
-tree over the slots holds subtree sums of both. An edit touches the slots that it overlaps and those within the context that a
-pre-token boundary may look at. Only their text is split and encoded again, up to the first old slot boundary that is still a
-pre-token boundary, and the sums on the paths above are updated.
+A document's leaves are slots of whole pre-tokens, each with its length and token count: chunks cut at spaces, or runs of
+SLOT pre-tokens where there are none. A binary tree over the slots holds subtree sums of both. An edit touches the slots that it
+overlaps and those within the context that a pre-token boundary may look at. Only their text is split and encoded again, up to the first
+old slot boundary that is still a pre-token boundary, and the sums on the paths above are updated.
 
 Splitting is left to right and looks beyond a pre-token's end at most two characters, or as many as the string of the vocabulary's added
 token has, so what ends CONTEXT characters before an edit stays, and what starts at a boundary after it stays as well: counts equal
@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm.bpe import ADDED, Encoder, encoder
+from versemill.llm.bpe import ADDED, Encoder, chunks, encoder
 from versemill.llm.common import texts
 from versemill.session import ship
 
-SLOT = 16
+SLOT = 16  # pre-tokens of a slot where a text has no spaces, or where an edit has made new ones
+LONG = 1024  # characters beyond which a chunk is cut into pre-tokens
 CONTEXT = len(ADDED) + 2  # characters before an edit that belong to its region
 AHEAD = 64  # characters after a region that the split may look at
 
@@ -38,29 +39,26 @@ class TokenTree:
     def __init__(self, text: str, enc: Encoder):
         self.enc = enc
         self.encoded = 0  # characters encoded by edits
-        leaves, counts = self._leaves(text)
         self.slots: list[str] = []
-        sizes = []
-        for i in range(0, len(leaves), SLOT):
-            self.slots.append("".join(leaves[i : i + SLOT]))
-            sizes.append((len(self.slots[-1]), sum(counts[i : i + SLOT])))
-        self._build(sizes)
-
-    def _leaves(self, text: str) -> tuple[list[str], list[int]]:
-        """Runs of whole pre-tokens and their token counts."""
-        found = self.enc.pieces(text)
-        if found is None:
-            leaves = self.enc.split(text)
-            return leaves, [len(self.enc.plain(x)) for x in leaves]
-        parts = text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])], [len(x) // 2 for x in found]
-
-    def _build(self, sizes: list[tuple[int, int]]) -> None:
+        counts: list[int] = []
+        for chunk in chunks(text):
+            if len(chunk) <= LONG:
+                self.slots.append(chunk)
+                counts.append(len(enc.plain(chunk)))
+            else:  # no space to cut at: runs of pre-tokens
+                leaves = enc.split(chunk)
+                own = [leaves[i : i + SLOT] for i in range(0, len(leaves), SLOT)]
+                self.slots += ["".join(x) for x in own]
+                counts += [sum(len(enc.plain(y)) for y in x) for x in own]
+        self._build(list(zip(map(len, self.slots), counts)))
+
+    def _build(self, sizes) -> None:
+        """Sums over slots of (characters, tokens)."""
         self.width = 1
         while self.width < len(sizes):
             self.width *= 2
         self.sums = np.zeros((2 * self.width, 2), dtype=np.int64)
-        if sizes:
+        if len(sizes):
             self.sums[self.width : self.width + len(sizes)] = sizes
         level = self.width
         while level > 1:
