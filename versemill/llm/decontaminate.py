@@ -252,8 +252,9 @@ def _unpacked(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(s["first"], s["last"] + 1) for s in spans or []]
 
 
-def _finder(phrases: Phrases):
-    """Rows (doc_id, text, spans, items): adds a pass's spans and items to those of the passes before, and the number of words."""
+def _finder(phrases: Phrases, last: bool):
+    """Rows (doc_id, text, spans, items): adds a pass's spans and items to those of the passes before, and the number of words; the last pass
+    leaves the text out."""
 
     def run(batches):
         for b in batches:
@@ -262,7 +263,8 @@ def _finder(phrases: Phrases):
             for (n, spans, items), (old_spans, old_items) in zip(_found(raw_texts(b.column(1)), phrases), old):
                 rows.append((n, _packed(_merge(spans + _unpacked(old_spans))), sorted(items | set(old_items or []))))
             new = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), _SPANS, pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], ["doc_id", "text", "n_words", "spans", "items"])
+            kept = [b.column(0)] if last else [b.column(0), b.column(1)]
+            yield pa.RecordBatch.from_arrays([*kept, *new], [*["doc_id", "text"][: len(kept)], "n_words", "spans", "items"])
 
     return run
 
@@ -289,11 +291,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass
     nothing = [F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items")]
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *nothing)
     for phrases, last in benchmark_passes(benchmark, window, pass_words):
-        out = out.select("doc_id", "text", "spans", "items")
-        out = out.mapInArrow(_finder(phrases), f"doc_id long, text string, n_words long, spans {SPANS}, items array<string>")
-        if not last:
-            out = materialize(out, "leaks")
-    return out.select("doc_id", "n_words", "spans", "items")
+        text = "" if last else "text string, "
+        out = out.mapInArrow(_finder(phrases, last), f"doc_id long, {text}n_words long, spans {SPANS}, items array<string>")
+        if last:
+            return out
+        out = materialize(out, "leaks").drop("n_words")
 
 
 def leak_digest(leaks: DataFrame) -> DataFrame:
