@@ -55,8 +55,8 @@ def training_labels(labels: DataFrame, label_col: str, training: Column, bound:
     y = y.filter(F.col("doc_id").isNotNull() & training)
     n = y.count()
     h = F.pmod(F.xxhash64("doc_id"), F.lit(2**30))
-    chosen = y if n <= bound else y.filter(h < F.lit(int(2**30 * 0.95 * bound / n)))
-    return materialize(chosen.limit(bound), label)  # the limit only guards the bound
+    # the limit only guards the bound
+    return materialize(y if n <= bound else y.filter(h < F.lit(int(2**30 * 0.95 * bound / n))).limit(bound), label)
 
 
 def unused_names(df: DataFrame, *stems: str) -> list[str]:
