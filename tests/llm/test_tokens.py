@@ -39,6 +39,7 @@ def test_chunks_are_encoded_by_themselves(plain):
         assert "".join(parts) == text
         assert sum((enc.plain(x) for x in parts), []) == plain(text), repr(text)
     assert len(chunks("word " * 100)) > 6 and chunks("") == [] and chunks("x" * 500) == ["x" * 500]
+    assert len(chunks("x" * 3_000_000)) == 1 and len(chunks("  x" * 1_000_000)) == 1  # in linear time
 
 
 def test_the_added_token(plain):

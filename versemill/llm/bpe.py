@@ -9,13 +9,11 @@ stands before, so texts may be cut there (`chunks`).
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 
 # The string of the vocabulary's added token, and its id.
 ADDED, ADDED_ID = "<|endoftext|>", 50256
-# White space here is at least what the vocabulary's pattern takes for it, so that every cut is one for the pattern too.
-_CHUNK = re.compile(r".{64,}?\S(?= \S)", re.S)
+CHUNK = 64  # characters of a chunk, at least
 _encoders: dict[str | None, "Encoder"] = {}
 
 
@@ -27,10 +25,16 @@ def vocabulary(name: str = "byte_bpe_50k") -> str:
 
 
 def chunks(text: str) -> list[str]:
-    """A text in chunks of 65 characters or more that are encoded independently of each other."""
-    out = _CHUNK.findall(text)
-    rest = text[sum(map(len, out)) :]
-    return [*out, rest] if rest else out
+    """A text in chunks of CHUNK characters or more that are encoded independently of each other."""
+    out, start, at = [], 0, text.find(" ", CHUNK)
+    while 0 < at < len(text) - 1:
+        # white space here is at least what the vocabulary's pattern takes for it, so that every cut is one for the pattern too
+        if text[at - 1].isspace() or text[at + 1].isspace():
+            at = text.find(" ", at + 1)
+        else:
+            out.append(text[start:at])
+            start, at = at, text.find(" ", at + CHUNK)
+    return [*out, text[start:]] if start < len(text) else out
 
 
 class Encoder:
