@@ -97,7 +97,7 @@ def py_entities(text: str | None) -> str:
     return _ENTITY.sub(lambda m: html.unescape(m.group(0)), text or "")
 
 
-_MARKUP = re.compile(r"""<(/?)([A-Za-z][\w:.-]*)(?:"[^"]*"|'[^']*'|[^>"'])*?(/?)>|[^<]+""")
+_MARKUP = re.compile(fixed.MARKUP)
 
 
 def py_tag_text(text: str | None, gone: frozenset[str], kept: frozenset[str] = frozenset(["add"])) -> str:
