@@ -19,6 +19,10 @@ def test_terms_as_files_come(spark, tmp_path):
     assert spark.table("hits_seen").count() == 13
 
 
+def test_no_notes_yet(spark, tmp_path):
+    assert incremental.current_notes(spark, str(tmp_path)).count() == 0 == incremental.current_trash(spark, str(tmp_path)).count()
+
+
 def test_notes_by_batches(spark, tmp_path):
     rows = [("a", 1, 10, "put", "x"), ("b", 2, 11, "put", "y"), ("a", 3, 12, "delete", None), ("a", 4, 13, "put", "z")]
     put = incremental.note_sink(str(tmp_path / "notes"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -72,6 +73,7 @@ def deck_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("ref").transformWithStateInPandas(Deck(), outputStructType=f"ref string, {CARD}", outputMode="Update", timeMode="None")
 
 
+NOTE = "ref string, body string, verse int, created long, updated long, trashed_at long"
 BUCKETS = 64  # of refs; a batch reads and writes those that it has events of
 
 
@@ -101,7 +103,12 @@ def note_sink(path: str, buckets: int = BUCKETS):
 
 
 def _newest(spark: SparkSession, path: str) -> DataFrame:
-    state = spark.read.parquet(f"{path}/current")
+    try:
+        state = spark.read.parquet(f"{path}/current")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], NOTE)  # no batch has come yet
     last = state.groupBy("bucket").agg(F.max("batch").alias("batch"))  # a row for each bucket
     return state.join(F.broadcast(last), ["bucket", "batch"]).filter(F.col("ref").isNotNull())
 
