@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from versemill.llm.common import words_of
 from versemill.llm.licence_texts import TEXTS
 from versemill.llm.licenses import LEAST_COVER, PHRASES, Automaton, Scanner, read_templates, scan_licenses
@@ -97,6 +99,8 @@ def test_licences_that_differ_in_a_part_are_told_apart():
 def test_own_templates_from_files(spark, tmp_path):
     (tmp_path / "House-1.0.txt").write_text("You may read this text aloud at home but nowhere else and never after ten.")
     templates = read_templates(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        read_templates(spark, str(tmp_path), most_bytes=10)
     rows = [(1, "So: you may read this text aloud at home but nowhere else and never after ten, mit license"), (2, "x")]
     df = spark.createDataFrame([(*r, "y") for r in rows], "doc_id long, text string, labels string")
     got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(df, templates=templates).collect()}

@@ -207,11 +207,13 @@ def _scanned(batches, scanner: Scanner):
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
-    """Licence texts of the files below a path, by lower-case file name without extension."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    name = F.lower(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.(?:txt|md)$", ""))
-    return {r.label: r.value for r in rows.select(name.alias("label"), "value").collect()}
+def read_templates(spark: SparkSession, path: str, most_bytes: int = 10 * MOST_WORDS) -> dict[str, str]:
+    """Licence texts of the files below a path, by lower-case file name without extension; too many bytes of them are an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if (files.agg(F.sum("length")).first()[0] or 0) > most_bytes:
+        raise ValueError(f"templates have more than {most_bytes} bytes")
+    name = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(?:txt|md)$", ""))
+    return {r.label: r.text for r in files.select(name.alias("label"), F.decode("content", "UTF-8").alias("text")).collect()}
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
