@@ -9,13 +9,14 @@ import tempfile
 import uuid
 import zipfile
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: dict[str, bool] = {}
-_scopes: list[list[str]] = []  # of open `scratch` scopes, the tables to delete
+_scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)  # tables to delete at the end of the innermost `scratch` of this thread
 
 
 def local_session(cpus: str = "*", **conf: str) -> SparkSession:
@@ -75,8 +76,9 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    own = _scope.get()
+    if own is not None and not keep:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,11 +86,13 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession):
     """A scope at whose end the tables that `materialize` wrote in it are deleted: results must be written or collected before."""
-    _scopes.append([])
+    tables: list[str] = []
+    before = _scope.set(tables)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(before)
+        for path in tables:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
