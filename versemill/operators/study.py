@@ -11,7 +11,7 @@ MINUTES10, DAY = 600, 86_400
 # Of the spaced repetition schedule.
 EASE, LEAST_EASE, MOST_EASE = 2.5, 1.3, 3.5
 LEARNING_MISS, REVIEW_MISS = 0.15, 0.2  # taken off the ease
-GAIN, LOSS, LOSS_GAP = 0.1, 0.08, 0.02  # ease after a hit: + GAIN - gap * (LOSS + gap * LOSS_GAP), the gap being 5 - q
+GAIN, LOSS, LOSS_GAP = 10, 8, 2  # ease after a hit, in exact hundredths: + GAIN - gap * (LOSS + gap * LOSS_GAP), the gap being 5 - q
 FIRST_DAYS, SECOND_DAYS, HARD = 1.0, 6.0, 1.2
 
 
@@ -29,7 +29,7 @@ def grade(card: Column, q: Column, ts: Column) -> Column:
     """M-04: a card after one grade. A new card ignores the grade; a learning one leaves or stays; a known one is spaced out."""
     miss = q == 0
     gap = 5 - q
-    eased = _bound(card["ease"] + (F.lit(GAIN) - gap * (F.lit(LOSS) + gap * F.lit(LOSS_GAP))))
+    eased = _bound(card["ease"] + (F.lit(GAIN) - gap * (F.lit(LOSS) + gap * F.lit(LOSS_GAP))) / 100)
     spaced = F.when(card["reps"] == 0, F.lit(FIRST_DAYS)).when(card["reps"] == 1, F.lit(SECOND_DAYS)).when(q >= 4, card["interval"] * eased).otherwise(card["interval"] * F.lit(HARD))
     new = _state(F.lit(0.0), card["ease"], F.lit(0), F.lit(1), ts + MINUTES10)
     learning = F.when(miss, _state(F.lit(0.0), _bound(card["ease"] - F.lit(LEARNING_MISS)), card["reps"], F.lit(1), ts + MINUTES10)).otherwise(
@@ -44,12 +44,13 @@ def grade(card: Column, q: Column, ts: Column) -> Column:
 def fold_cards(events: DataFrame, ref: str = "ref") -> DataFrame:
     """M-03/M-04: the card of each ref after its events (ref, seq, ts, kind, q) in the order of seq; `add` makes or resets a card.
 
-    Grades before the first add meet no card and do nothing. Events of one ref are one array: a card has as many as one reader makes.
+    Grades before the first add meet no card and do nothing. A null ref has no card; a null seq comes last. Events of one ref are one array: a
+    card has as many as one reader makes.
     """
-    history = F.array_sort(F.collect_list(F.struct("seq", "ts", "kind", "q")))
+    history = F.array_sort(F.collect_list(F.struct(F.col("seq").isNull().alias("late"), "seq", "ts", "kind", "q")))
     fresh = lambda e: _state(F.lit(0.0), F.lit(EASE), F.lit(0), F.lit(0), e["ts"] + MINUTES10)
     step = lambda card, e: F.when(e["kind"] == "add", fresh(e)).when(card.isNotNull(), grade(card, e["q"], e["ts"])).otherwise(card)
-    folded = events.groupBy(ref).agg(F.aggregate(history, F.lit(None).cast(STATE), step).alias("card"))
+    folded = events.filter(F.col(ref).isNotNull()).groupBy(ref).agg(F.aggregate(history, F.lit(None).cast(STATE), step).alias("card"))
     return folded.filter(F.col("card").isNotNull()).select(ref, "card.*")
 
 

@@ -37,10 +37,15 @@ def grade_events(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("ref"), F.col("event_id").alias("seq"), ts.alias("ts"), kind.alias("kind"), q.alias("q"))
 
 
+def six(x):
+    """round(x, 6) as the SQL has it: the product is rounded, which beyond 2^53 millionths isn't the nearest decimal."""
+    return F.round(F.col(x) * 1e6) / 1e6
+
+
 @query("memory_fold", f"WITH RECURSIVE {CARDS} SELECT ref, round(interval, 6) AS interval, round(ease, 6) AS ease, reps, state, due FROM cards")
 def memory_fold(spark, sf_dir):
     cards = study.fold_cards(grade_events(spark, sf_dir))
-    return cards.select("ref", F.round("interval", 6).alias("interval"), F.round("ease", 6).alias("ease"), "reps", "state", "due")
+    return cards.select("ref", six("interval").alias("interval"), six("ease").alias("ease"), "reps", "state", "due")
 
 
 @query("memory_stats", f"WITH RECURSIVE {CARDS} SELECT count(*) AS total, count(*) FILTER (due <= {NOW}) AS due, count(*) FILTER (state = 1) AS learning, count(*) FILTER (state = 2) AS review FROM cards")
