@@ -58,3 +58,9 @@ def odd_events():
 
 def test_fold_of_nulls_equals_sql(spark, tmp_path):
     assert not differing(spark, str(tmp_path), "memory_fold", odd_events())
+
+
+@pytest.mark.parametrize("events", [lambda: make_events()[0], odd_events])
+def test_stream_equals_sql(spark, tmp_path, events):
+    pytest.importorskip("google.protobuf")
+    assert not differing(spark, str(tmp_path), "stream_deck", events())

@@ -13,7 +13,7 @@ from versemill.functions import text as T
 from versemill.functions import unicode as U
 from versemill.operators import align, render, routes
 from versemill.plans import gates, verify
-from versemill.queries.study import CARDS, _NOTES, grade_events, note_events
+from versemill.queries.study import CARDS, _NOTES, grade_events, note_events, six
 from versemill.session import shared_dir, table
 from versemill.sources import books as B
 from versemill.sources import dialects
@@ -175,10 +175,11 @@ def stream_deck(spark, sf_dir):
     def put(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
 
-    for when in (F.col("seq") <= middle, F.col("seq") > middle):  # the second half meets the cards that the first has left in the state
+    first = F.coalesce(F.col("seq") <= middle, F.lit(False))
+    for when in (first, ~first):  # the second half meets the cards that the first has left in the state
         events.filter(when).write.mode("append").parquet(f"{at}/in")
         cards = incremental.deck_stream(own.readStream.schema(events.schema).parquet(f"{at}/in"))
         cards.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     seen = spark.read.parquet(f"{at}/out")
     last = seen.groupBy("ref").agg(F.max_by(F.struct("interval", "ease", "reps", "state", "due"), "batch").alias("c"))
-    return last.select(F.col("ref").cast("long").alias("ref"), F.round("c.interval", 6).alias("interval"), F.round("c.ease", 6).alias("ease"), "c.reps", "c.state", "c.due")
+    return last.select(F.col("ref").cast("long").alias("ref"), six("c.interval").alias("interval"), six("c.ease").alias("ease"), "c.reps", "c.state", "c.due")
