@@ -87,13 +87,15 @@ def registry_files(spark, sf_dir):
     r"""SELECT conv_id::INT AS book, turn::INT AS number, md5(replace(replace(replace(min(text), '\', '\\'), '"', '\"'), chr(10), '{~}')) AS digest FROM conversations GROUP BY conv_id, turn""",
 )
 def literal_files(spark, sf_dir):
-    """S-15 and K-04: modules of chapter literals written as text and read back case by case."""
+    """S-15 and K-04: modules of chapter literals written as text and read back case by case; turns that no case can hold come beside them."""
     at = _folder(spark, "modules")
     literal = F.replace(F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("{~}"))
-    modules = B.literal_modules(_talks(spark, sf_dir).select("n", F.col("v").alias("chapter"), literal.alias("literal")))
-    modules.select("n", F.col("module").alias("value")).write.partitionBy("n").text(at)
-    found = B.literals(spark, at)
-    return found.select(F.regexp_extract("path", r"n=(\d+)/", 1).cast("int").alias("book"), "number", F.md5(F.col("literal").cast("binary")).alias("digest"))
+    rows = _talks(spark, sf_dir).select("n", F.col("v").alias("chapter"), literal.alias("literal"))
+    digest = F.md5(F.col("literal").cast("binary")).alias("digest")
+    B.literal_modules(rows).select("n", F.col("module").alias("value")).write.partitionBy("n").text(at)
+    found = B.literals(spark, at).select(F.regexp_extract("path", r"/n=(-?\d+)/[^/]*$", 1).try_cast("int").alias("book"), "number", digest)
+    beside = rows.filter(F.col("chapter").isNull() | F.col("literal").isNull())  # no number or no text
+    return found.unionByName(beside.select(F.col("n").alias("book"), F.col("chapter").alias("number"), digest))
 
 
 @query("tree_lines", "SELECT source, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (SELECT source, unnest(string_split_regex(text, '\r\n|\n|\r')) AS line FROM documents) WHERE line <> '' GROUP BY source")

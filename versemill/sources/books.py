@@ -80,9 +80,12 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def literals(spark: SparkSession, path: str) -> DataFrame:
-    """S-15: (file, path, number, literal) of generated `case N: return s"..."` lines."""
-    pattern = r'^\s*case (\d+): return s"((?:[^"\\]|\\.)*)";?\s*$'
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("path"), "value").filter(F.regexp_like("value", F.lit(pattern)))
+    """S-15: (file, path, number, literal) of generated `case N: return s"..."` lines.
+
+    Lines end in a line feed; a literal may hold a carriage return. Possessive loops keep no way back, so literals of any length are read.
+    """
+    pattern = r'^\s*case (-?\d+): return s"([^"\\]*+(?:\\[\s\S][^"\\]*+)*+)";?\s*$'
+    lines = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n").select(F.input_file_name().alias("path"), "value").filter(F.regexp_like("value", F.lit(pattern)))
     return lines.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.regexp_extract("value", pattern, 1).cast("int").alias("number"), F.regexp_extract("value", pattern, 2).alias("literal"))
 
 
