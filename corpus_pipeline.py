@@ -26,7 +26,7 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by five-word shingles."""
+    """One document of each group of near-duplicates: candidates by SimHash and minhash bands, links by five-word shingles."""
     return neardup.near_dedup(docs)
 
 

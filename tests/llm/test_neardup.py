@@ -96,5 +96,47 @@ def test_a_near_copy_that_differs_in_many_bits_goes(spark):
     assert [r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, df, "").collect()] == [1]
 
 
+def test_simhash_search_brings_candidates(spark):
+    """Sets meet exactly where links of four bits lead from one fingerprint to the other; copies of one set with other repeats too."""
+    from versemill.llm import simhash
+
+    rng = random.Random(9)
+    sims = [rng.randrange(-(2**63), 2**63) for _ in range(40)]
+    sims += [x ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for x in sims[:20]]
+    sims += [x ^ 7 for x in sims[40:50]]
+    rows = [(i, [x]) for i, x in enumerate(sims)] + [(100, [sims[30], sims[31]])]
+    comp = list(range(len(sims))) + [30]
+    sims += [sims[30]]
+    links = [(i, j) for i in range(len(sims)) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= simhash.MOST] + [(len(sims) - 1, 31)]
+    keys = {}
+    for r in neardup.simhash_keys(spark.createDataFrame(rows, "fp long, sims array<long>")).collect():
+        keys.setdefault(r.fp, set()).add(r.key)
+    fps = [fp for fp, _ in rows]
+    assert all(keys[fps[i]] & keys[fps[j]] for i, j in links)
+    for i, j in links:
+        comp = [comp[j] if c == comp[i] else c for c in comp]
+    assert not any(keys[fps[i]] & keys[fps[j]] for i in range(len(fps)) for j in range(i) if comp[i] != comp[j])
+
+
+def test_near_copies_meet_by_simhash_alone(spark, monkeypatch):
+    """Where the bands' keys bring no two sets together, copies within four bits still do."""
+    from versemill.llm import simhash
+
+    words = [f"w{i}" for i in range(4000)]
+    other = [*words[:3999], "end"]
+    a, b = " ".join(words), " ".join(other)
+    assert (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() <= simhash.MOST
+    sign = neardup._sign
+
+    def lone(batches):
+        for x in sign(batches):
+            at = x.schema.names.index("bands")
+            yield x.set_column(at, "bands", neardup.pa.array([[h] for h in x.column("h").to_pylist()], neardup.pa.list_(neardup.pa.int64())))
+
+    monkeypatch.setattr(neardup, "_sign", lone)
+    df = spark.createDataFrame([(1, a), (2, b), (3, "quite another text of some words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.near_dedup(df).collect()) == [1, 3]
+
+
 def test_empty(spark):
     assert neardup.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,10 +1,12 @@
 """Near-duplicates of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
 
-A 64-bit SimHash of texts at 0.8 differs in ten bits on average and in nineteen now and then; pigeonhole blocks for so many bits would be of three bits, on
-which nearly all texts meet. So this rule takes its candidates from minhashes: a text's set is signed by BANDS keys of ROWS minhashes each, and
-sets that share a key are candidates. A pair of similarity 0.8 shares none with probability (1 - 0.8^6)^40, 5 in a million, and
-closer ones less. Links are told by exact Jaccard over an inverted index of shingles, by breadth-first search that gives links enough to hold each
-group together. Equal sets are one node throughout, so copies cost nothing.
+Candidates come from op6's method first: texts whose SimHash fingerprints (simhash.py) lie in one component of links by pigeonhole blocks meet.
+Its four bits reach the closest copies only, as 64-bit fingerprints of texts at 0.8 differ in ten bits on average and in nineteen now and then;
+pigeonhole blocks for so many bits would be of three bits, on which nearly all texts meet. The rest therefore meets by minhashes: a text's set is
+signed by BANDS keys of ROWS minhashes each, and sets that share a key are candidates. A pair of similarity 0.8 shares none with probability
+(1 - 0.8^6)^40, 5 in a million, and closer ones less. An exact check follows for all candidates: links are told by Jaccard over an inverted
+index of shingles, by breadth-first search that gives links enough to hold each group together. Equal sets are one node throughout, so
+copies cost nothing.
 
 Candidates that hang together are searched in one task up to TILE shingles. Where more hang together, they meet by the keys that they share
 instead, and meetings beyond TILE are searched in tiles (meetings.py), so no task holds more than a few times TILE shingles or one text.
@@ -22,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from versemill.llm import simhash
 from versemill.llm.common import raw_texts, tokens_of, unused_names
 from versemill.llm.meetings import links, roots
 from versemill.session import materialize, ship
@@ -63,13 +66,14 @@ def _signed(values) -> pa.Array:
 
 
 def _sign(batches):
-    """Rows (k, h, text): (k, h, fp, bands); fp stands for the set of shingles."""
+    """Rows (k, h, text): (k, h, sim, fp, bands); sim is the text's SimHash, fp stands for the set of shingles."""
     for b in batches:
+        sims = _signed([simhash.fingerprint(t) for t in raw_texts(b.column(2))])
         sets = [shingles(t) for t in raw_texts(b.column(2))]
         fp = _signed([xxhash.xxh64_intdigest(s.tobytes()) for s in sets])
         keys = _signed([k for s in sets for k in band_keys(s)])
         bands = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(sets) + 1, BANDS), pa.int32()), keys)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, bands], ["k", "h", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sims, fp, bands], ["k", "h", "sim", "fp", "bands"])
 
 
 def _sets(batches):
@@ -121,6 +125,14 @@ def _find(_: list[int], bodies: list[bytes]) -> list[tuple[int, int]]:
     return spanning_links([np.frombuffer(x, dtype=np.uint64) for x in bodies])
 
 
+def simhash_keys(distinct: DataFrame) -> DataFrame:
+    """(key, fp) of sets (fp, sims): one key for each component of links that op6's search finds among their fingerprints."""
+    own = distinct.select(F.explode("sims").alias("sim"), "fp")
+    found = roots(simhash.linked(own.select(F.col("sim").alias("fp")).distinct()), "neardup-simhash")
+    named = own.join(found.select(F.col("fp").alias("sim"), "root"), "sim", "left")
+    return named.select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "sim")).alias("key"), "fp").distinct()
+
+
 def _places(sets: DataFrame, met: DataFrame, tile: int) -> DataFrame:
     """(fp, place) of candidates: what they hang together in or, where that is large, the keys that they share."""
     weight = sets.groupBy("root").agg(F.sum("size").alias("weight"))
@@ -139,10 +151,10 @@ def near_dedup(docs: DataFrame, tile: int = TILE) -> DataFrame:
     key, text = unused_names(docs, "near_key", "near_text"), F.coalesce(F.col("text"), F.lit(""))
     late = F.lit(2**62) + F.xxhash64(text).bitwiseAND(F.lit(2**61 - 1))
     keyed = docs.withColumns({key[0]: F.coalesce(F.col("doc_id").cast("long"), late), key[1]: F.xxhash64(text)})
-    rows = keyed.select(*key, "text").mapInArrow(_sign, "k long, h long, fp long, bands array<long>")
-    distinct = rows.groupBy("fp").agg(F.min(F.struct("k", "h")).alias("first"), F.first("bands").alias("bands"))
+    rows = keyed.select(*key, "text").mapInArrow(_sign, "k long, h long, sim long, fp long, bands array<long>")
+    distinct = rows.groupBy("fp").agg(F.min(F.struct("k", "h")).alias("first"), F.first("bands").alias("bands"), F.collect_set("sim").alias("sims"))
     distinct = materialize(distinct, "neardup-distinct")
-    met = distinct.select(F.explode("bands").alias("key"), "fp")
+    met = distinct.select(F.explode("bands").alias("key"), "fp").unionByName(materialize(simhash_keys(distinct), "neardup-close"))
     stars = met.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("last")).filter(F.col("v") != F.col("last")).select("key", "v")
     candidates = met.join(stars, "key").filter(F.col("fp") != F.col("v")).select(F.col("fp").alias("u"), "v").distinct()
     first = distinct.select("fp", "first")
